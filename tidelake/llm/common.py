@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-WORD_BREAK = r"[\x20\x09-\x0D]+"
+WORD = r"[^\x20\x09-\x0D]+"
 SLICE_BYTES = 8 << 20
 _local: list[str] = []
 

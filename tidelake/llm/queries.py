@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, lattice_lm, packing, piece_bpe, token_cache, topk_search, toxicity
+from . import exact_dedup, lattice_lm, packing, piece_bpe, substring_dedup, token_cache, topk_search, toxicity
 from .common import WORD, crc_mod, scratch_dir
 
 TOXIC_AT = 0.3
@@ -25,6 +25,11 @@ def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.substring_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     found = exact_dedup.exact_dedup(docs)
@@ -71,11 +76,23 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_dedup, op4_exact_top_k, op5_piece_codec, op7_best_fit_packing, op8_lattice_lm, op9_token_counts, op10_toxicity)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_exact_dedup, op4_exact_top_k, op5_piece_codec, op7_best_fit_packing, op8_lattice_lm, op9_token_counts, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_substring_dedup": r"""
+            WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+            p AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+            s AS (SELECT doc_id, i, array_to_string(w[i:i + 34], ' ') AS words
+                  FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 34)) AS i FROM d)),
+            r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY words) AS n FROM s) WHERE n > 1),
+            m AS (SELECT p.doc_id, p.i, word, max(r.i) OVER (PARTITION BY p.doc_id ORDER BY p.i) AS last
+                  FROM p LEFT JOIN r ON r.doc_id = p.doc_id AND r.i = p.i),
+            k AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (last IS NOT NULL AND i - last < 35) AS n_removed,
+                         string_agg(word, ' ' ORDER BY i) FILTER (last IS NULL OR i - last >= 35) AS kept FROM m GROUP BY doc_id)
+            SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+            FROM d LEFT JOIN k ON k.doc_id = d.doc_id""",
         "op2_exact_dedup": """
             SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                    doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, lattice_lm, packing, piece_bpe, substring_dedup, token_cache, topk_search, toxicity
+from . import exact_dedup, lattice_lm, minhash_dedup, packing, piece_bpe, substring_dedup, token_cache, topk_search, toxicity
 from .common import WORD, crc_mod, scratch_dir
 
 TOXIC_AT = 0.3
@@ -37,6 +37,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(digests, "doc_id").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings").where("embedding is not null and not exists(embedding, x -> x is null or isnan(x) or abs(x) = double('infinity'))")
     whole = vectors.select("vec_id", topk_search.scaled(F.col("embedding"), 64).alias("vector"))
@@ -76,7 +80,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_exact_dedup, op4_exact_top_k, op5_piece_codec, op7_best_fit_packing, op8_lattice_lm, op9_token_counts, op10_toxicity)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_exact_dedup, op3_minhash_dedup, op4_exact_top_k, op5_piece_codec, op7_best_fit_packing, op8_lattice_lm, op9_token_counts, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:

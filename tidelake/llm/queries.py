@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, lattice_lm, minhash_dedup, packing, piece_bpe, substring_dedup, token_cache, topk_search, toxicity
+from . import exact_dedup, lattice_lm, line_dedup, minhash_dedup, packing, piece_bpe, substring_dedup, token_cache, topk_search, toxicity
 from .common import WORD, crc_mod, scratch_dir
 
 TOXIC_AT = 0.3
@@ -52,6 +52,11 @@ def op5_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.line_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return packing.pack(docs.select("doc_id", F.regexp_count("text", F.lit(WORD)).alias("n_words")), "n_words")
@@ -80,7 +85,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_exact_dedup, op3_minhash_dedup, op4_exact_top_k, op5_piece_codec, op7_best_fit_packing, op8_lattice_lm, op9_token_counts, op10_toxicity)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_exact_dedup, op3_minhash_dedup, op4_exact_top_k, op5_piece_codec, op6_line_dedup, op7_best_fit_packing, op8_lattice_lm, op9_token_counts, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -101,6 +106,22 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                    doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
             FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
+        "op6_line_dedup": r"""
+            WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL),
+            s AS (SELECT doc_id, i, line, list_sort(list_distinct(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))) AS w FROM l),
+            u AS (SELECT w, len(w) AS n, min((doc_id, i)) AS at, row_number() OVER () AS id FROM s WHERE len(w) > 0 GROUP BY w),
+            t AS (SELECT id, n, unnest(w) AS word FROM u),
+            o AS (SELECT word, row_number() OVER (ORDER BY count(*), word) AS o FROM t GROUP BY word),
+            p AS (SELECT id, n, word, row_number() OVER (PARTITION BY id ORDER BY o) AS p FROM t JOIN o USING (word)),
+            c AS (SELECT DISTINCT x.id AS a, y.id AS b FROM p x JOIN p y ON x.word = y.word AND x.id <> y.id
+                  WHERE x.p <= x.n - ceil(0.8 * x.n) + 1 AND y.p <= y.n - ceil(0.8 * y.n) + 1 AND 4 * x.n <= 5 * y.n AND 4 * y.n <= 5 * x.n),
+            m AS (SELECT a, min(y.at) AS at FROM c JOIN u x ON x.id = a JOIN u y ON y.id = b
+                  WHERE 9 * len(list_intersect(x.w, y.w)) >= 4 * (x.n + y.n) GROUP BY a),
+            e AS (SELECT u.w, least(u.at, coalesce(m.at, u.at)) AS at FROM u LEFT JOIN m ON m.a = u.id),
+            k AS (SELECT doc_id, i, line, e.at IS NOT NULL AND (doc_id, i) > e.at AS gone FROM s LEFT JOIN e ON e.w = s.w),
+            g AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone) AS kept FROM k GROUP BY doc_id)
+            SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+            FROM documents d LEFT JOIN g ON g.doc_id = d.doc_id""",
         "op4_exact_top_k": """
             WITH v AS (SELECT vec_id, [floor(64 * x::DOUBLE) FOR x IN embedding] AS e FROM embeddings
                        WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),

@@ -7,7 +7,7 @@ and have similar sizes: the prefix, positional and length filters. What passes i
 whole sets. A line is removed if an earlier one is that similar.
 
 Equal sets are one set from the start, so a line that very many documents share is one row in the
-join; sets of fewer than five words match equal ones alone and don't enter it.
+join; sets of fewer than four words match equal ones alone and don't enter it.
 """
 
 from __future__ import annotations
@@ -57,10 +57,10 @@ def similar_lines(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     keyed = lines.select("_key", "_id", "line_no", word_keys(F.col("_line"), classes).alias("w")).where("size(w) > 0")
     n = F.size("w")
     probe = n - _ceil(4 * n, 5) + 1
-    lines = write_table(keyed.select("_key", "_id", "line_no", F.xxhash64("w").alias("set"), n.alias("n"), F.when(n >= 5, F.slice("w", F.lit(1), probe)).alias("prefix")), "lines")
+    lines = write_table(keyed.select("_key", "_id", "line_no", F.xxhash64("w").alias("set"), n.alias("n"), F.when(n >= 4, F.slice("w", F.lit(1), probe)).alias("prefix")), "lines")
 
     first = lines.groupBy("set").agg(F.min(F.struct("_id", "_key", "line_no")).alias("at"))
-    rows_of = lines.where("n >= 5").select("set", "n", F.posexplode("prefix").alias("p", "w")).groupBy("w", "set", "n", "p").agg(F.lit(1).alias("one")).drop("one")
+    rows_of = lines.where("n >= 4").select("set", "n", F.posexplode("prefix").alias("p", "w")).groupBy("w", "set", "n", "p").agg(F.lit(1).alias("one")).drop("one")
     x, y = rows_of.alias("x"), rows_of.alias("y")
     nx, ny, px, py = F.col("x.n"), F.col("y.n"), F.col("x.p"), F.col("y.p")
     overlap = _ceil(4 * (nx + ny), 9)

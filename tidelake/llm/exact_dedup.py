@@ -22,8 +22,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     doc, text = F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(doc, F.octet_length(text).alias("_len"), F.xxhash64(F.substring(text, 1, prefix_chars)).alias("_head"))
-    lengths = rows.groupBy("_len").agg(F.count("*").alias("_n")).where("_n > 1").select("_len")
-    heads = rows.join(lengths, "_len", "left_semi").groupBy("_len", "_head").agg(F.count("*").alias("_n")).where("_n > 1").select("_len", "_head")
+    # both levels are counted before any join, so that rows of a common length are never gathered
+    counted = rows.groupBy("_len", "_head").agg(F.count("*").alias("_n"))
+    lengths = counted.groupBy("_len").agg(F.sum("_n").alias("_rows")).where("_rows > 1").select("_len")
+    heads = counted.where("_n > 1").join(lengths, "_len", "left_semi").select("_len", "_head")
     survivors = rows.join(heads, ["_len", "_head"], "left_semi").select("doc_id").distinct()
     # whole texts are read of the survivors alone
     full = (

@@ -57,8 +57,8 @@ def _stored(spark: SparkSession, cache_path: str, digest: str) -> DataFrame:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         found = spark.createDataFrame([], CACHE_SCHEMA)
-    # writers that ran at once may both have stored a digest
-    return found.where(F.col("tokenizer_digest") == digest).groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens"))
+    # writers that ran at once may both have stored a digest, with the one count that it has
+    return found.where(F.col("tokenizer_digest") == digest).select("content_digest", "n_tokens").distinct()
 
 
 def token_counts(docs: DataFrame, model_path: str, cache_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

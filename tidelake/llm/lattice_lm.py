@@ -71,6 +71,20 @@ def start(pieces: list[tuple[str, float]]) -> Lattice:
     return Lattice(h[order], np.array([len(x) for x, _ in pieces])[order], log_p, float(np.log(0.01 / 256)), float(np.log(0.01)))
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], rows: int = 50_000) -> Iterator[pa.Table]:
+    """Larger batches: words are worked on by length, which pays with many of each."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for batch in batches:
+        held.append(batch)
+        n += len(batch)
+        if n >= rows:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, n = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def _groups(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places and code points of the words of each length, in blocks of bounded size."""
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -208,7 +222,7 @@ def score_documents(docs: DataFrame, train_on: Column, model_path: str, id_col:
 
         def expect(batches: Iterator[pa.RecordBatch], of=shipped) -> Iterator[pa.RecordBatch]:
             pieces, n_bytes = np.zeros(len(of.value.hashes)), 0.0
-            for batch in batches:
+            for batch in _gathered(batches):
                 p, b = expected(batch.column("word").to_pylist(), batch.column("c").to_numpy().astype(float), of.value)
                 pieces += p
                 n_bytes += b
@@ -225,9 +239,9 @@ def score_documents(docs: DataFrame, train_on: Column, model_path: str, id_col:
     final = spark.sparkContext.broadcast(model)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            log_p = word_log_p(batch.column("word").to_pylist(), final.value) / np.log(10)
-            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), batch.column("seen"), pa.array(log_p)], ["word", "c", "seen", "lp"])
+        for words_ in _gathered(batches):
+            log_p = word_log_p(words_.column("word").to_pylist(), final.value) / np.log(10)
+            yield from words_.append_column("lp", pa.array(log_p)).to_batches()
 
     weighed = write_table(vocabulary.mapInArrow(weigh, "word string, c long, seen long, lp double"), "lm-weights")
     head = weighed.orderBy(F.desc("seen"), "word").limit(head_words).select("word", "c", "lp").collect()  # head_words rows at most

@@ -1,10 +1,66 @@
-"""From raw documents to packed sequences: stages over the documents table, each an operator of tidelake.llm."""
+"""From raw documents to packed sequences: five stages over the documents table, each an operator of tidelake.llm.
+
+Every stage takes what the one before it kept. All but the last return the columns of documents; a
+stage that edits texts also renews ``n_chars``. The result of a stage is written and read again before
+the next one, so a lost executor costs a stage at most. Empty tables pass through; rows with null
+texts count as empty ones; extra columns are carried along.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidelake.llm import line_dedup, minhash_dedup, packing, substring_dedup, toxicity
+from tidelake.llm.common import WORD, crc_mod, scratch_dir
+from tidelake.llm.queries import TOXIC_AT
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity is under the threshold; learns from three quarters of the labels, as op10 does."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.train(docs, labels, crc_mod(F.col("doc_id"), 4) != 2)
+    return toxicity.reject(docs, model, TOXIC_AT)
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the lines that are like an earlier line; no document goes."""
+    found = line_dedup.line_dedup(docs)
+    return found.select(*[F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies: the one with the smallest id."""
+    kept = minhash_dedup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
+
+
+def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the words of repeated 35-word windows; a text that has none stays as it is, line ends included."""
+    found = substring_dedup.substring_dedup(docs.withColumn("_text", F.col("text")))
+    cut = F.col("n_removed") > 0
+    new = {"text": F.when(cut, F.col("kept_text")).otherwise(F.col("_text")), "n_chars": F.when(cut, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))}
+    return found.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of a document, with its place in a bin; lengths are in words."""
+    return packing.pack(docs.select("doc_id", F.regexp_count("text", F.lit(WORD)).alias("n_words")), "n_words")
+
+
+STAGES = [("toxicity", drop_toxic), ("line_dedup", drop_lines), ("near_dedup", drop_near_copies), ("substring_dedup", drop_passages), ("packing", pack)]
+
+#: the toxicity model, the near-duplicate estimate and the packing have no SQL
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of ``sf_dir``; each one's result is a table in the shared folder."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    base = f"{scratch_dir(spark)}/tidelake/pipeline-{uuid.uuid4().hex}"
+    for name, stage in STAGES:
+        stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
+        docs = spark.read.parquet(f"{base}/{name}")
+    return docs

@@ -226,3 +226,22 @@ def score(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id", text_col:
 
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("_text"))
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double, passages array<struct<start: long, stop: long, nats: double>>")
+
+
+def reject(docs: DataFrame, model: ToxicModel, threshold: float, text_col: str = "text") -> DataFrame:
+    """The rows, all columns as they are, whose text scores under the threshold; null texts count as empty.
+
+    Texts are scored where they are read; nothing is joined or shuffled.
+    """
+    small_batches(docs.sparkSession)
+    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    w0, w1, w2 = model.weights
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good: list[bool] = []
+            for _, texts in slices(batch.column(text_col)):
+                good += [1 / (1 + math.exp(-max(-30.0, min(30.0, w0 + w1 * a + w2 * b)))) < threshold for a, b, _ in features(shipped.value, texts)]
+            yield batch.filter(pa.array(good, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
 SLICE_BYTES = 8 << 20
+BROADCAST_BYTES = 8 << 20
 _local: list[str] = []
 
 
@@ -38,7 +39,17 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write ``df`` once to the shared folder and read it back. It survives lost executors."""
     path = f"{scratch_dir(df.sparkSession)}/tidelake/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def checked_broadcast(table: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """A table of ``write_table``, to be broadcast if its files hold ``limit`` bytes at most; beyond that joins shuffle."""
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table._scratch_path)
+    size = path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    return F.broadcast(table) if size <= limit else table
 
 
 def small_batches(spark: SparkSession) -> None:

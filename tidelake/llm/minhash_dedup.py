@@ -6,10 +6,12 @@ its earliest arrival, and a shingle stops once its next arrival comes after the
 registers estimate the probability Jaccard similarity. Equal bands of registers make candidates; the
 exact probability Jaccard of their whole texts decides.
 
-Equal texts are one node. In each bucket all nodes are first held against the smallest one, which
-gathers a group of copies into a few components in linear work; then the nodes outside the bucket's
-largest component are held against the whole bucket, in tiles of bounded size. Pairs within one
-component need no test, as they change no class, so no class is lost to the shortcut.
+Equal texts are one node. Both the estimates and the exact similarities make groups in two steps. All
+nodes of a bucket are first held against its smallest one, which gathers a group of copies in linear
+work; the nodes outside the bucket's largest group are then held against the whole bucket, in tiles of
+bounded size. Only texts in a group by estimate are read again, each group's together: small groups in
+one task, large ones in chunks, each with the same few pivots, and what these leave apart in tiles of
+two chunks. Pairs within one component need no test, as they change no class.
 """
 
 from __future__ import annotations
@@ -19,10 +21,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import gram_hashes, hash_words, mix64, slices, small_batches, words, write_table
+from .common import checked_broadcast, gram_hashes, hash_words, mix64, slices, small_batches, words, write_table
 from .components import components
 
 SHINGLE = 5
@@ -33,6 +36,7 @@ REGISTERS = BANDS * ROWS
 #: four standard deviations below the threshold; pairs estimated lower aren't verified
 ESTIMATE = SIMILAR - 4 * math.sqrt(SIMILAR * (1 - SIMILAR) / REGISTERS)
 TILE = 512
+PIVOTS = 32
 GROUP_ROWS = 20_000
 
 
@@ -129,20 +133,41 @@ def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(good)), batch.column("b").filter(pa.array(good))], ["a", "b"])
 
 
+class _Forest:
+    """Components of a task's nodes; ``join`` tells whether a link was new."""
+
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        root = x
+        while (above := self.up.get(root, root)) != root:
+            root = above
+        while self.up.get(x, x) != root:
+            self.up[x], x = root, self.up[x]
+        return root
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.find(x), self.find(y)
+        if x != y:
+            self.up[max(x, y)] = min(x, y)
+        return x != y
+
+
 def _tiles(rows: pa.Table) -> pa.Table:
-    """Likely pairs between the two sides of each tile, of different components."""
+    """Pairs between the two sides of each tile that are alike by estimate, as few as join their components."""
     rows = rows.sort_by([("band", "ascending"), ("lc", "ascending"), ("rc", "ascending"), ("minor", "descending")])
     node, comp, minor, sketch = rows["node"].to_numpy(), rows["comp"].to_numpy(), rows["minor"].to_numpy(), _bytes(rows["sketch"])
     key = np.stack([rows[c].to_numpy() for c in ("band", "lc", "rc")])
     cuts = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
     starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(node)]])
-    out: list[np.ndarray] = []
+    forest = _Forest()
+    out: list[tuple[int, int]] = []
     left: list[np.ndarray] = []
     right: list[np.ndarray] = []
     size = 0
 
     def flush() -> None:
-        nonlocal size
         if left:
             i, j = np.concatenate(left), np.concatenate(right)
             for s in range(0, len(i), 100_000):
@@ -150,10 +175,11 @@ def _tiles(rows: pa.Table) -> pa.Table:
                 keep = comp[x] != comp[y]
                 x, y = x[keep], y[keep]
                 good = _alike(sketch[x], sketch[y]) >= ESTIMATE
-                out.append(np.stack([np.minimum(node[x[good]], node[y[good]]), np.maximum(node[x[good]], node[y[good]])]))
+                for a, b in zip(x[good].tolist(), y[good].tolist()):
+                    if forest.join(int(comp[a]), int(comp[b])):
+                        out.append((int(node[a]), int(node[b])))
         left.clear()
         right.clear()
-        size = 0
 
     for s, e in zip(starts.tolist(), ends.tolist()):
         k = s + int(minor[s:e].sum())
@@ -163,30 +189,131 @@ def _tiles(rows: pa.Table) -> pa.Table:
             size += (k - s) * (e - k)
             if size > 300_000:
                 flush()
+                size = 0
     flush()
-    pairs = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.empty((2, 0), np.int64)
-    return pa.table({"a": pairs[0], "b": pairs[1]})
+    return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+
+def _verifier(similar: float):
+    """Links between the similar texts of each cell of a group, as few as join them: all pairs of side 0, or sides 0 and 1 crosswise."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("cell", "ascending"), ("node", "ascending")])
+        cell, node, comp, side, sketch = rows["cell"].to_numpy(), rows["node"].to_numpy(), rows["comp"].to_numpy(), rows["side"].to_numpy(), _bytes(rows["sketch"])
+        sets: list[tuple[np.ndarray, np.ndarray]] = []
+        for part in rows["_text"].chunks:
+            for _, some in slices(part):
+                offsets, flat = words(some)
+                row, gram, count = shingles(hash_words(flat), offsets)
+                cut = np.searchsorted(row, np.arange(len(some) + 1))
+                sets += [_ordered(gram[x:y], count[x:y]) for x, y in zip(cut[:-1], cut[1:])]
+        out: list[tuple[int, int]] = []
+        bounds = np.concatenate([[0], np.flatnonzero(cell[1:] != cell[:-1]) + 1, [len(cell)]])
+        for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            forest = _Forest()
+            first, second = np.flatnonzero(side[s:e] == 0) + s, np.flatnonzero(side[s:e] == 1) + s
+            for i in range(len(first)):
+                a = first[i]
+                others = second if len(second) else first[i + 1 :]
+                if not len(others):
+                    continue
+                est = _alike(sketch[a][None, :], sketch[others])
+                order = np.argsort(-est, kind="stable")
+                for j in others[order[est[order] >= ESTIMATE]].tolist():
+                    if node[a] != node[j] and forest.find(int(comp[a])) != forest.find(int(comp[j])) and similarity(sets[a], sets[j]) >= similar:
+                        forest.join(int(comp[a]), int(comp[j]))
+                        out.append((int(node[a]), int(node[j])))
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+    return run
+
+
+def _ordered(gram: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(gram)
+    return gram[order], count[order]
+
+
+def _parts(n: Column) -> Column:
+    return F.ceil(n / F.lit(TILE)).cast("int")
+
+
+def _chunk(n: Column) -> Column:
+    """The chunk of a node among n."""
+    return F.pmod(F.xxhash64("node"), _parts(n)).cast("int")
+
+
+def _each(n: Column) -> Column:
+    return F.explode(F.sequence(F.lit(0), n - 1))
 
 
-def _verified(texts: DataFrame, pairs: DataFrame, similar: float) -> DataFrame:
-    """The pairs of nodes (a, b) whose texts are that similar."""
+def _or_self(nodes: DataFrame, comps: DataFrame, name: str) -> DataFrame:
+    """Nodes with their component; a node without links is its own."""
+    return nodes.join(comps.select("node", F.col("component").alias(name)), "node", "left").withColumn(name, F.coalesce(name, "node"))
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sides = []
-            for name in ("ta", "tb"):
-                sets: list[tuple[np.ndarray, np.ndarray]] = []
-                for _, some in slices(batch.column(name)):
-                    offsets, flat = words(some)
-                    row, gram, count = shingles(hash_words(flat), offsets)
-                    cut = np.searchsorted(row, np.arange(len(some) + 1))
-                    sets += [(gram[x:y], count[x:y]) for x, y in zip(cut[:-1], cut[1:])]
-                sides.append(sets)
-            good = pa.array([similarity(x, y) >= similar for x, y in zip(*sides)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(good), batch.column("b").filter(good)], ["a", "b"])
 
-    left, right = texts.select(F.col("node").alias("a"), F.col("_text").alias("ta")), texts.select(F.col("node").alias("b"), F.col("_text").alias("tb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long")
+def _groups_by_estimate(sketches: DataFrame) -> DataFrame:
+    """``node, component`` under the links between nodes that share a bucket and are alike by estimate."""
+    members = sketches.select("node", F.explode("bands").alias("band"))
+    least = members.groupBy("band").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").select("band", "a")
+    members = write_table(members.join(least, "band").select("band", "node", "a"), "near-buckets")
+    short = sketches.select("node", "sketch")
+    one, two = short.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), short.select(F.col("node").alias("b"), F.col("sketch").alias("sb"))
+    stars = members.where("node <> a").select("a", F.col("node").alias("b")).distinct()
+    likely = write_table(stars.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(_likely, "a long, b long"), "near-stars")
+    comps = write_table(components(likely), "near-groups")
+
+    of = _or_self(members.select("band", "node"), comps, "comp")
+    counted = of.groupBy("band", "comp").agg(F.count("*").alias("n"))
+    mixed = counted.groupBy("band").agg(F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("most"), F.count("*").alias("k")).where("k > 1").select("band", F.col("most.comp").alias("major"), (F.col("n") - F.col("most.n")).alias("n_minor"), "n")
+    mixed = write_table(mixed, "near-mixed")
+    cells = mixed.agg(F.sum(_parts(F.col("n_minor")) * F.col("n") + F.col("n_minor") * _parts(F.col("n")))).first()[0] or 0
+    dealt = of.join(mixed, "band").join(short, "node").withColumn("minor", F.col("comp") != F.col("major"))
+    columns = ["band", "node", "comp", "sketch", "minor", "lc", "rc"]
+    n, m = F.col("n"), F.col("n_minor")
+    lefts = dealt.where("minor").withColumn("lc", _chunk(m)).withColumn("rc", _each(_parts(n))).select(columns)
+    rights = dealt.withColumn("minor", F.lit(False)).withColumn("rc", _chunk(n)).withColumn("lc", _each(_parts(m))).select(columns)
+    tiled = lefts.unionByName(rights).withColumn("_g", F.pmod(F.xxhash64("band", "lc", "rc"), F.lit(max(1, math.ceil(int(cells) / GROUP_ROWS)))))
+    across = tiled.groupBy("_g").applyInArrow(_tiles, "a long, b long")
+    return components(likely.unionByName(across))
+
+
+def _verify(rows: DataFrame, similar: float) -> DataFrame:
+    """Links of the cells of rows (cell, node, comp, side, sketch, _text), dealt in groups of bounded size."""
+    groups = max(1, math.ceil(rows.select("cell").count() / (4 * TILE)))
+    return rows.withColumn("_g", F.pmod(F.xxhash64("cell"), F.lit(groups))).groupBy("_g").applyInArrow(_verifier(similar), "a long, b long")
+
+
+def _verified_links(rows: DataFrame, first: DataFrame, sketches: DataFrame, similar: float) -> DataFrame:
+    """Links (a, b) that give the components of exact similarity; rows: doc_id, node, _text."""
+    found = _groups_by_estimate(sketches)
+    sizes = found.groupBy("component").agg(F.count("*").alias("n"))
+    groups = write_table(found.join(sizes, "component").select("node", F.col("component").alias("grp"), "n"), "near-sized")
+    wanted = write_table(groups.join(first, "node").select("node", "_first"), "near-wanted")
+    # the texts in a group, from the first row of each; repeated identical rows are one
+    texts = rows.join(checked_broadcast(wanted).withColumnRenamed("node", "_node"), (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_first"))).select("node", "_text")
+    texts = write_table(texts.groupBy("node").agg(F.first("_text").alias("_text")).join(groups, "node").join(sketches.select("node", "sketch"), "node"), "near-texts")
+    n = F.col("n")
+    plain = texts.withColumn("comp", F.col("node")).withColumn("side", F.lit(0))
+    columns = ["cell", "node", "comp", "side", "sketch", "_text"]
+    chunked = plain.withColumn("cell", F.xxhash64("grp", _chunk(n))).select(columns)
+    # the pivots of a large group are in each of its chunks
+    order = F.row_number().over(Window.partitionBy("grp").orderBy("node"))
+    pivots = groups.where(n > TILE).withColumn("_r", order).where(F.col("_r") <= PIVOTS).select("node")
+    spread = plain.join(pivots, "node", "left_semi").withColumn("_c", _each(_parts(n))).where(F.col("_c") != _chunk(n)).withColumn("cell", F.xxhash64("grp", "_c")).select(columns)
+    links = write_table(_verify(chunked.unionByName(spread), similar), "near-links")
+    large = texts.where(n > TILE)
+    if large.isEmpty():
+        return links
+    of = _or_self(groups.where(n > TILE), components(links), "comp")
+    counted = of.groupBy("grp", "comp").agg(F.count("*").alias("k"))
+    major = counted.groupBy("grp").agg(F.max(F.struct("k", "comp")).alias("most"), F.sum("k").alias("all")).select("grp", F.col("most.comp").alias("major"), (F.col("all") - F.col("most.k")).alias("n_minor")).where("n_minor > 0")
+    minor = write_table(of.join(major, "grp").select("node", "comp", "n_minor", (F.col("comp") != F.col("major")).alias("minor")), "near-minor")
+    again = large.join(minor, "node")
+    m = F.col("n_minor")
+    cell = F.xxhash64("grp", "lc", "rc")
+    lefts = again.where("minor").withColumn("side", F.lit(0)).withColumn("lc", _chunk(m)).withColumn("rc", _each(_parts(n))).withColumn("cell", cell).select(columns)
+    rights = again.withColumn("side", F.lit(1)).withColumn("rc", _chunk(n)).withColumn("lc", _each(_parts(m))).withColumn("cell", cell).select(columns)
+    return links.unionByName(_verify(lefts.unionByName(rights), similar))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR) -> DataFrame:
@@ -203,36 +330,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("_text"), F.xxhash64(text).alias("node"))
     ids = rows.select("doc_id", "node")
     first = ids.groupBy("node").agg(F.min("doc_id").alias("_first"))
-    # the first row of each text; repeated identical rows are dropped after they are sketched
-    texts = rows.join(first.withColumnRenamed("node", "_node"), (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_first"))).select("node", "_text")
     sketches = write_table(rows.select("node", "_text").mapInArrow(_sketch, "node long, bands array<long>, sketch binary").groupBy("node").agg(F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "sketches")
-    members = sketches.select("node", F.explode("bands").alias("band"))
-    least = members.groupBy("band").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").select("band", "a")
-    short = sketches.select("node", "sketch")
-    one, two = short.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), short.select(F.col("node").alias("b"), F.col("sketch").alias("sb"))
-
-    stars = members.join(least, "band").where("node <> a").select("a", F.col("node").alias("b")).distinct()
-    likely = stars.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(_likely, "a long, b long")
-    links = write_table(_verified(texts, likely, similar), "near-links")
-    comps = write_table(components(links), "near-components")
-
-    of = members.join(comps, "node", "left").select("band", "node", F.coalesce("component", "node").alias("comp"))
-    of = of.join(least.select("band"), "band", "left_semi")
-    counted = of.groupBy("band", "comp").agg(F.count("*").alias("n"))
-    mixed = counted.groupBy("band").agg(F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("most"), F.count("*").alias("k")).where("k > 1").select("band", F.col("most.comp").alias("major"), (F.col("n") - F.col("most.n")).alias("n_minor"), "n")
-    parts = lambda n: F.ceil(F.col(n) / F.lit(TILE)).cast("int")
-    chunk = lambda n: F.pmod(F.xxhash64("node"), parts(n)).cast("int")
-    dealt = of.join(mixed, "band").join(short, "node").withColumn("minor", F.col("comp") != F.col("major"))
-    span = lambda n: F.explode(F.sequence(F.lit(0), parts(n) - 1))
-    cells = ["band", "node", "comp", "sketch", "minor", "lc", "rc"]
-    lefts = dealt.where("minor").withColumn("lc", chunk("n_minor")).withColumn("rc", span("n")).select(cells)
-    rights = dealt.withColumn("minor", F.lit(False)).withColumn("rc", chunk("n")).withColumn("lc", span("n_minor")).select(cells)
-    n_rows = mixed.agg(F.sum((parts("n_minor") * F.col("n")) + F.col("n_minor") * parts("n"))).first()[0] or 0
-    groups = max(1, math.ceil(int(n_rows) / GROUP_ROWS))
-    tiled = lefts.unionByName(rights).withColumn("_g", F.pmod(F.xxhash64("band", "lc", "rc"), F.lit(groups)))
-    across = tiled.groupBy("_g").applyInArrow(_tiles, "a long, b long").distinct()
-    more = _verified(texts, across, similar)
-    classes = components(links.unionByName(more))
+    classes = components(_verified_links(rows, first, sketches, similar))
 
     classed = ids.join(classes, "node", "left").select("doc_id", "node", F.coalesce("component", "node").alias("_class"))
     per_text = classed.groupBy("_class", "node").agg(F.min("doc_id").alias("d"), F.count("*").alias("n"))

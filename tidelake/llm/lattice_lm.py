@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import gram_hashes, mix64, slices, small_batches, words, write_table
 
 HEAD_WORDS = 100_000
-ROUNDS = 1
+ROUNDS = 3
 MARK = "▁"
 SMOOTH = 0.1
 _lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -7,7 +7,9 @@ and have similar sizes: the prefix, positional and length filters. What passes i
 whole sets. A line is removed if an earlier one is that similar.
 
 Equal sets are one set from the start, so a line that very many documents share is one row in the
-join; sets of fewer than four words match equal ones alone and don't enter it.
+join; sets of fewer than four words match equal ones alone and don't enter it. For each prefix word
+the earliest set is tried first: that settles the later lines of a group of copies in linear work. The
+sets that it leaves open are then held against all earlier ones that the filters let pass.
 """
 
 from __future__ import annotations
@@ -15,77 +17,127 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, write_table
+from .common import checked_broadcast, write_table
 
-COUNTERS = 1 << 16
-_BREAK = r"[\x20\x09-\x0D]+"
+COUNTERS = 1 << 18
 _HASH_BITS = 56
 
 
+def split_words(text: Column) -> Column:
+    """The words of a text, in order. White space becomes single spaces first, as splitting at one character needs no regular expression."""
+    for c in "\t\n\x0b\x0c\r":
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return F.array_remove(F.split(text, " "), "")
+
+
 def rarity_classes(texts: DataFrame, text_col: str) -> str:
-    """The class (four to a doubling) of each hashed counter, as comma-separated text; COUNTERS numbers, whatever the corpus."""
+    """The class (two to a doubling) of each hashed counter as one number after another, comma-separated; COUNTERS of them, whatever the corpus."""
+    n_block = 1 << 10
     counted = (
-        texts.select(F.explode(F.split(F.col(text_col), _BREAK)).alias("w"))
-        .groupBy(F.pmod(F.xxhash64("w"), F.lit(COUNTERS)).cast("int").alias("b"))
+        texts.select(F.explode(split_words(F.col(text_col))).alias("w"))
+        .groupBy(F.xxhash64("w").bitwiseAND(F.lit(COUNTERS - 1)).alias("b"))
         .agg(F.count("*").alias("n"))
-        .select("b", F.least(F.floor(4 * F.log2(F.col("n") + 1)), F.lit(127)).cast("int").alias("c"))
+        .unionByName(texts.sparkSession.range(COUNTERS).select(F.col("id").alias("b"), F.lit(0).cast("long").alias("n")))
+        .groupBy("b")
+        .agg(F.least(F.floor(2 * F.log2(F.sum("n") + 1)), F.lit(127)).cast("string").alias("c"))
     )
-    found = {r.b: r.c for r in counted.collect()}
-    return ",".join(str(found.get(b, 0)) for b in range(COUNTERS))
+    blocks = counted.groupBy(F.floor(F.col("b") / n_block).alias("k")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "c"))), lambda x: x["c"]), ",").alias("t"))
+    return ",".join(r.t for r in blocks.orderBy("k").collect())
 
 
 def word_keys(line: Column, classes: str) -> Column:
     """The line's distinct words as numbers in the order of rarity."""
-    table = F.split(F.lit(classes), ",").cast("array<int>")
-    hashes = F.transform(F.filter(F.split(line, _BREAK), lambda w: w != ""), lambda w: F.xxhash64(w))
+    table = F.split(F.lit(classes), ",").cast("array<tinyint>")
     low = (1 << _HASH_BITS) - 1
-    keys = F.transform(hashes, lambda h: F.shiftleft(F.element_at(table, (F.pmod(h, F.lit(COUNTERS)) + 1).cast("int")).cast("long"), _HASH_BITS).bitwiseOR(h.bitwiseAND(F.lit(low))))
-    return F.sort_array(F.array_distinct(keys))
+
+    def key(w: Column) -> Column:
+        h = F.xxhash64(w)
+        return F.shiftleft(F.get(table, h.bitwiseAND(F.lit(COUNTERS - 1)).cast("int")).cast("long"), _HASH_BITS).bitwiseOR(h.bitwiseAND(F.lit(low)))
+
+    return F.sort_array(F.array_distinct(F.transform(split_words(line), key)))
+
+
+def parity(keys: Column) -> Column:
+    """64 bits, each flipped by every key that it stands for."""
+    one = F.lit(1).cast("long")
+    return F.aggregate(keys, F.lit(0).cast("long"), lambda bits, k: bits.bitwiseXOR(F.call_function("shiftleft", one, k.bitwiseAND(F.lit(63)).cast("int"))))
 
 
 def _ceil(num: Column, of: int) -> Column:
     return F.floor((num + F.lit(of - 1)) / F.lit(of)).cast("int")
 
 
-def similar_lines(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Lines with their sets (_key, _id, line_no, set), and links between different sets (a, b) of Jaccard 0.8 or more.
+def n_probe(n: Column) -> Column:
+    """How many of its rarest words can be the first one that a set shares with another."""
+    return n - _ceil(4 * n, 5) + 1
+
+
+def n_index(n: Column) -> Column:
+    """The same of the smaller of two sets."""
+    return n - _ceil(8 * n, 9) + 1
+
+
+def _may_match(p: str, q: str) -> Column:
+    """The filters, for two rows of the prefix table with one word: lengths, prefixes and positions."""
+    n, m, i, j = F.col(f"{p}.n"), F.col(f"{q}.n"), F.col(f"{p}.p"), F.col(f"{q}.p")
+    lengths = (4 * m <= 5 * n) & (4 * n <= 5 * m)
+    prefixes = ((n > m) | (i < n_index(n))) & ((m > n) | (j < n_index(m)))
+    return lengths & prefixes & (F.least(n - i, m - j) >= _ceil(4 * (n + m), 9))
+
 
-    rows: _key, _id, _text. Lines without words are left out.
+def _verified(rows: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of sets whose Jaccard is 0.8 or more; their words come from their first lines.
+
+    At that similarity a ninth of both sizes bounds the words that only one has, and so the bits in
+    which the parities of their words differ: most chance pairs end there, unread.
+    """
+    bits = lambda side: sets.select(F.col("set").alias(side), F.struct("parity", "n").alias(f"p{side}"))
+    few = 9 * F.bit_count(F.col("pa.parity").bitwiseXOR(F.col("pb.parity"))) <= F.col("pa.n") + F.col("pb.n")
+    pairs = write_table(pairs.join(bits("a"), "a").join(bits("b"), "b").where(few).select("a", "b"), "line-pairs")
+    wanted = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct().join(sets.select("set", "at"), "set")
+    wanted = write_table(wanted.groupBy(F.col("at._key").alias("_key")).agg(F.collect_list(F.struct(F.col("at.line_no").alias("line_no"), "set")).alias("some")), "line-wanted")
+    # a line is cut out of its text before the text is multiplied
+    lines = F.transform("some", lambda x: F.struct(x["set"].alias("set"), F.get(F.split("_text", "\n"), x["line_no"]).alias("line")))
+    read = rows.select("_key", "_text").join(checked_broadcast(wanted), "_key").select(F.inline(lines)).groupBy("set").agg(F.first("line").alias("line"))
+    read = write_table(read.select("set", F.array_distinct(split_words(F.col("line"))).alias("w")), "line-words")
+    both = pairs.join(read.select(F.col("set").alias("a"), F.col("w").alias("wa")), "a").join(read.select(F.col("set").alias("b"), F.col("w").alias("wb")), "b")
+    return both.where(9 * F.size(F.array_intersect("wa", "wb")) >= 4 * (F.size("wa") + F.size("wb"))).select("a", "b")
+
+
+def line_sets(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Lines (_key, _id, line_no, set) that hold words, and sets (set, at, n, parity, prefix, k) with their first place and number of lines.
+
+    rows: _key, _id, _text.
     """
     classes = rarity_classes(rows, "_text")
     lines = rows.select("_key", "_id", F.posexplode(F.split("_text", "\n")).alias("line_no", "_line"))
     keyed = lines.select("_key", "_id", "line_no", word_keys(F.col("_line"), classes).alias("w")).where("size(w) > 0")
     n = F.size("w")
-    probe = n - _ceil(4 * n, 5) + 1
-    lines = write_table(keyed.select("_key", "_id", "line_no", F.xxhash64("w").alias("set"), n.alias("n"), F.when(n >= 4, F.slice("w", F.lit(1), probe)).alias("prefix")), "lines")
-
-    first = lines.groupBy("set").agg(F.min(F.struct("_id", "_key", "line_no")).alias("at"))
-    rows_of = lines.where("n >= 4").select("set", "n", F.posexplode("prefix").alias("p", "w")).groupBy("w", "set", "n", "p").agg(F.lit(1).alias("one")).drop("one")
-    x, y = rows_of.alias("x"), rows_of.alias("y")
-    nx, ny, px, py = F.col("x.n"), F.col("y.n"), F.col("x.p"), F.col("y.p")
-    overlap = _ceil(4 * (nx + ny), 9)
-    pairs = (
-        # the smaller set is held by its shorter prefix
-        x.where(F.col("p") < n_index(F.col("n")))
-        .join(y, (F.col("x.w") == F.col("y.w")) & ((nx < ny) | ((nx == ny) & (F.col("x.set") < F.col("y.set")))) & (4 * ny <= 5 * nx) & (F.least(nx - px, ny - py) >= overlap))
-        .select(F.col("x.set").alias("a"), F.col("y.set").alias("b"))
-        .distinct()
-    )
-    pairs = write_table(pairs, "line-pairs")
-    # the words of the candidates, each from its set's first line
-    wanted = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct().join(first, "set").select(F.col("at._key").alias("_key"), F.col("at.line_no").alias("line_no"), "set")
-    wanted = wanted.groupBy("_key").agg(F.collect_list(F.struct("line_no", "set")).alias("at"))
-    texts = rows.select("_key", "_text").join(wanted, "_key").select(F.split("_text", "\n").alias("lines"), F.explode("at").alias("at"))
-    sets = texts.select(F.col("at.set").alias("set"), F.array_distinct(F.regexp_extract_all(F.col("lines")[F.col("at.line_no")], F.lit(f"({WORD})"), F.lit(1))).alias("words")).dropDuplicates(["set"])
-    both = pairs.join(sets.select(F.col("set").alias("a"), F.col("words").alias("wa")), "a").join(sets.select(F.col("set").alias("b"), F.col("words").alias("wb")), "b")
-    shared = F.size(F.array_intersect("wa", "wb"))
-    links = both.where(9 * shared >= 4 * (F.size("wa") + F.size("wb"))).select("a", "b")
-    return lines, links
+    lines = write_table(keyed.select("_key", "_id", "line_no", F.xxhash64("w").alias("set"), n.alias("n"), parity(F.col("w")).alias("parity"), F.when(n >= 4, F.slice("w", F.lit(1), n_probe(n))).alias("prefix")), "lines")
+    place = F.struct("_id", "_key", "line_no")
+    sets = lines.groupBy("set").agg(F.min(F.struct(place.alias("at"), "n", "parity", "prefix")).alias("m"), F.count("*").alias("k"))
+    return lines, write_table(sets.select("set", "m.at", "m.n", "m.parity", "m.prefix", "k"), "line-sets")
 
 
-def n_index(n: Column) -> Column:
-    """How many of the rarest words of the smaller set can be the first shared one."""
-    return n - _ceil(8 * n, 9) + 1
+def matched_sets(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """``set`` of the sets whose first line has an earlier line of another set with a Jaccard of 0.8 or more."""
+    spread = sets.where("n >= 4").select("set", "n", F.col("at._id").alias("id"), F.posexplode("prefix").alias("p", "w"))
+    leaders = spread.groupBy("w").agg(F.min(F.struct("id", "set", "n", "p")).alias("first"), F.count("*").alias("k")).where("k > 1").select("w", "first")
+    # words that one set alone has lead nowhere: most prefix words end here
+    shared = write_table(spread.join(leaders, "w").select("w", "set", "n", "id", "p", "first"), "line-prefixes")
+
+    leader = shared.select("w", "set", "n", "id", "p", F.col("first.set").alias("fs"), F.col("first.id").alias("fi"), F.struct("first.n", "first.p").alias("x"), F.struct("n", "p").alias("y"))
+    near = leader.where((F.col("fs") != F.col("set")) & (F.col("fi") < F.col("id")) & _may_match("x", "y")).select(F.col("fs").alias("a"), F.col("set").alias("b")).distinct()
+    settled = write_table(_verified(rows, sets, near).select(F.col("b").alias("set")).distinct(), "line-settled")
+
+    x = shared.select("w", "set", "id", "n", "p").alias("x")
+    y = shared.select("w", "set", "id", "n", "p").join(settled, "set", "left_anti").alias("y")
+    ahead = (F.col("x.id") < F.col("y.id")) | (F.col("x.id").eqNullSafe(F.col("y.id"))) | F.col("x.id").isNull()
+    rest = x.join(y, (F.col("x.w") == F.col("y.w")) & (F.col("x.set") != F.col("y.set")) & ahead & _may_match("x", "y")).select(F.col("x.set").alias("a"), F.col("y.set").alias("b")).distinct()
+    found = _verified(rows, sets, rest)
+    places = sets.select("set", "at")
+    before = found.join(places.select(F.col("set").alias("a"), F.col("at").alias("pa")), "a").join(places.select(F.col("set").alias("b"), F.col("at").alias("pb")), "b").where("pa < pb")
+    return settled.unionByName(before.select(F.col("b").alias("set"))).distinct()
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -100,19 +152,17 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     key = F.xxhash64(id_col, text_col)
     rows = docs.where(F.col(text_col).isNotNull()).select(key.alias("_key"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    lines, links = similar_lines(rows)
-    links = write_table(links, "line-links")
-    first = lines.groupBy("set").agg(F.min(F.struct("_id", "_key", "line_no")).alias("at"), F.count("*").alias("n"))
-    near = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    earliest = near.join(first, near["b"] == first["set"]).groupBy("a").agg(F.min("at").alias("near"))
-    limits = first.join(earliest, first["set"] == earliest["a"], "left").where("n > 1 or near is not null").select("set", F.least("at", F.coalesce("near", "at")).alias("at"))
-    gone = lines.join(limits, "set").where(F.struct("_id", "_key", "line_no") > F.col("at")).groupBy("_key").agg(F.collect_set("line_no").alias("_gone"))
+    lines, sets = line_sets(rows)
+    matched = matched_sets(rows, sets).withColumn("all", F.lit(True))
+    limits = sets.join(matched, "set", "left").where("k > 1 or all").select("set", "at", F.coalesce("all", F.lit(False)).alias("all"))
+    gone = lines.join(limits, "set").where(F.col("all") | (F.struct("_id", "_key", "line_no") > F.col("at"))).groupBy("_key").agg(F.collect_set("line_no").alias("_gone"))
+    gone = write_table(gone, "line-gone")
     carried = [c for c in docs.columns if c not in ("n_lines", "n_removed", "_key", "_gone")]
     parts = F.split(text_col, "\n")
     kept = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains("_gone", i)), "\n")
     return (
         docs.select(*carried, key.alias("_key"))
-        .join(gone, "_key", "left")
+        .join(checked_broadcast(gone), "_key", "left")
         .select(
             *[F.when(F.col("_gone").isNull(), F.col(c)).otherwise(kept).alias(c) if c == text_col else F.col(c) for c in carried],
             F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("n_lines"),

@@ -6,6 +6,7 @@ Words are maximal runs of bytes other than space and 0x09-0x0D, unchanged. Null
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -41,9 +42,19 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._scratch_path = path
+    # shuffle files of the steps behind the table go once the driver has collected their plans
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
     return out
 
 
+def drop_table(table: DataFrame) -> None:
+    """Delete a table of ``write_table`` that nothing reads any more."""
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table._scratch_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def checked_broadcast(table: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """A table of ``write_table``, to be broadcast if its files hold ``limit`` bytes at most; beyond that joins shuffle."""
     spark = table.sparkSession

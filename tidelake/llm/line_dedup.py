@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, write_table
+from .common import checked_broadcast, drop_table, write_table
 
 COUNTERS = 1 << 18
 _HASH_BITS = 56
@@ -104,40 +104,46 @@ def _verified(rows: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.where(9 * F.size(F.array_intersect("wa", "wb")) >= 4 * (F.size("wa") + F.size("wb"))).select("a", "b")
 
 
-def line_sets(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Lines (_key, _id, line_no, set) that hold words, and sets (set, at, n, parity, prefix, k) with their first place and number of lines.
+def line_sets(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Lines (_key, _id, line_no, words) that hold words; their sets (set, words, at, n, parity, k), with
+    first place and number of lines; and the sets' rarest words (set, n, prefix).
 
-    rows: _key, _id, _text.
+    ``words`` is the hash of a set, ``set`` its number in order of first places. rows: _key, _id, _text.
     """
     classes = rarity_classes(rows, "_text")
     lines = rows.select("_key", "_id", F.posexplode(F.split("_text", "\n")).alias("line_no", "_line"))
     keyed = lines.select("_key", "_id", "line_no", word_keys(F.col("_line"), classes).alias("w")).where("size(w) > 0")
     n = F.size("w")
-    lines = write_table(keyed.select("_key", "_id", "line_no", F.xxhash64("w").alias("set"), n.alias("n"), parity(F.col("w")).alias("parity"), F.when(n >= 4, F.slice("w", F.lit(1), n_probe(n))).alias("prefix")), "lines")
+    read = write_table(keyed.select("_key", "_id", "line_no", F.xxhash64("w").alias("words"), n.alias("n"), parity(F.col("w")).alias("parity"), F.when(n >= 4, F.slice("w", F.lit(1), n_probe(n))).alias("prefix")), "lines")
     place = F.struct("_id", "_key", "line_no")
-    sets = lines.groupBy("set").agg(F.min(F.struct(place.alias("at"), "n", "parity", "prefix")).alias("m"), F.count("*").alias("k"))
-    return lines, write_table(sets.select("set", "m.at", "m.n", "m.parity", "m.prefix", "k"), "line-sets")
+    sets = read.groupBy("words").agg(F.min(F.struct(place.alias("at"), "n", "parity", "prefix")).alias("m"), F.count("*").alias("k")).select("words", "m.*", "k")
+    # numbers that rise with the first places; written, so that they stay
+    sets = write_table(sets.orderBy("at").withColumn("set", F.monotonically_increasing_id()), "line-sets")
+    lines = write_table(read.select("_key", "_id", "line_no", "words"), "line-places")
+    slim = write_table(sets.drop("prefix"), "line-known")
+    drop_table(read)
+    return lines, slim, sets
 
 
-def matched_sets(rows: DataFrame, sets: DataFrame) -> DataFrame:
+def matched_sets(rows: DataFrame, known: DataFrame, sets: DataFrame) -> DataFrame:
     """``set`` of the sets whose first line has an earlier line of another set with a Jaccard of 0.8 or more."""
-    spread = sets.where("n >= 4").select("set", "n", F.col("at._id").alias("id"), F.posexplode("prefix").alias("p", "w"))
-    leaders = spread.groupBy("w").agg(F.min(F.struct("id", "set", "n", "p")).alias("first"), F.count("*").alias("k")).where("k > 1").select("w", "first")
-    # words that one set alone has lead nowhere: most prefix words end here
-    shared = write_table(spread.join(leaders, "w").select("w", "set", "n", "id", "p", "first"), "line-prefixes")
+    spread = sets.where("n >= 4").select("set", "n", F.posexplode("prefix").alias("p", "w"))
+    leaders = spread.groupBy("w").agg(F.min(F.struct("set", "n", "p")).alias("first"), F.count("*").alias("k")).where("k > 1").select("w", "first")
+    # words that one set alone has lead nowhere
+    shared = write_table(spread.join(leaders, "w").select("w", "set", "n", "p", "first"), "line-prefixes")
+    drop_table(sets)
 
-    leader = shared.select("w", "set", "n", "id", "p", F.col("first.set").alias("fs"), F.col("first.id").alias("fi"), F.struct("first.n", "first.p").alias("x"), F.struct("n", "p").alias("y"))
-    near = leader.where((F.col("fs") != F.col("set")) & (F.col("fi") < F.col("id")) & _may_match("x", "y")).select(F.col("fs").alias("a"), F.col("set").alias("b")).distinct()
-    settled = write_table(_verified(rows, sets, near).select(F.col("b").alias("set")).distinct(), "line-settled")
+    leader = shared.select("w", "set", "first", F.struct("first.n", "first.p").alias("x"), F.struct("n", "p").alias("y"))
+    near = leader.where((F.col("first.set") < F.col("set")) & _may_match("x", "y")).select(F.col("first.set").alias("a"), F.col("set").alias("b")).distinct()
+    settled = write_table(_verified(rows, known, near).select(F.col("b").alias("set")).distinct(), "line-settled")
 
-    x = shared.select("w", "set", "id", "n", "p").alias("x")
-    y = shared.select("w", "set", "id", "n", "p").join(settled, "set", "left_anti").alias("y")
-    ahead = (F.col("x.id") < F.col("y.id")) | (F.col("x.id").eqNullSafe(F.col("y.id"))) | F.col("x.id").isNull()
-    rest = x.join(y, (F.col("x.w") == F.col("y.w")) & (F.col("x.set") != F.col("y.set")) & ahead & _may_match("x", "y")).select(F.col("x.set").alias("a"), F.col("y.set").alias("b")).distinct()
-    found = _verified(rows, sets, rest)
-    places = sets.select("set", "at")
-    before = found.join(places.select(F.col("set").alias("a"), F.col("at").alias("pa")), "a").join(places.select(F.col("set").alias("b"), F.col("at").alias("pb")), "b").where("pa < pb")
-    return settled.unionByName(before.select(F.col("b").alias("set"))).distinct()
+    x = shared.select("w", "set", "n", "p").alias("x")
+    y = shared.select("w", "set", "n", "p").join(settled, "set", "left_anti").alias("y")
+    rest = x.join(y, (F.col("x.w") == F.col("y.w")) & (F.col("x.set") < F.col("y.set")) & _may_match("x", "y")).select(F.col("x.set").alias("a"), F.col("y.set").alias("b")).distinct()
+    found = _verified(rows, known, rest).select(F.col("b").alias("set"))
+    drop_later = write_table(settled.unionByName(found).distinct(), "line-matched")
+    drop_table(shared)
+    return drop_later
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -152,10 +158,10 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     key = F.xxhash64(id_col, text_col)
     rows = docs.where(F.col(text_col).isNotNull()).select(key.alias("_key"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    lines, sets = line_sets(rows)
-    matched = matched_sets(rows, sets).withColumn("all", F.lit(True))
-    limits = sets.join(matched, "set", "left").where("k > 1 or all").select("set", "at", F.coalesce("all", F.lit(False)).alias("all"))
-    gone = lines.join(limits, "set").where(F.col("all") | (F.struct("_id", "_key", "line_no") > F.col("at"))).groupBy("_key").agg(F.collect_set("line_no").alias("_gone"))
+    lines, known, sets = line_sets(rows)
+    matched = matched_sets(rows, known, sets).withColumn("all", F.lit(True))
+    limits = known.join(matched, "set", "left").where("k > 1 or all").select("words", "at", F.coalesce("all", F.lit(False)).alias("all"))
+    gone = lines.join(limits, "words").where(F.col("all") | (F.struct("_id", "_key", "line_no") > F.col("at"))).groupBy("_key").agg(F.collect_set("line_no").alias("_gone"))
     gone = write_table(gone, "line-gone")
     carried = [c for c in docs.columns if c not in ("n_lines", "n_removed", "_key", "_gone")]
     parts = F.split(text_col, "\n")

@@ -149,7 +149,7 @@ class Engine:
                     key = staging_key(table, bounds.x, bounds.y)
                     rows.write.mode("overwrite").option("compression", "zstd").parquet(self.store.path(key))
                     self.manifest.commit([ObjectMeta(table, "staging", key, bounds.a.astimezone(UTC), bounds.b.astimezone(UTC), bounds.n, bounds.x, bounds.y, types)])
-                hot = tiering.write_rows(self.store, rows, f"{table}/hot/{bounds.x:020d}-{bounds.y:020d}", chunk=self._chunk, cols=types, measurement=table, kind="hot")
+                hot = tiering.write_rows(self.store, rows, f"{table}/hot/{bounds.x:020d}-{bounds.y:020d}", chunk=self._chunk, cols=types, measurement=table, kind="hot", rows_in=bounds.n)
                 self.manifest.commit(hot)
                 return bounds.n
             finally:
@@ -207,7 +207,7 @@ class Engine:
     def delete(self, measurement: str, tags: dict[str, str] | None = None, start=None, end=None) -> int:
         """Delete hot rows with these tags in [start, end); returns their number. Cold rows stay.
 
-        Only chunks that the range meets are rewritten, each to a new folder; one commit swaps them.
+        Only chunks that lose rows are rewritten, to new folders; one commit swaps them.
         """
         table, columns = identifier(measurement), self.columns(measurement)
         filters = {tag_column(k): v for k, v in (tags or {}).items()}
@@ -222,14 +222,17 @@ class Engine:
         if b is not None:
             doomed &= F.col("time") < F.lit(b)
         with self._locks[table]:
-            count = 0
-            for objects in self._chunks(table, a, b).values():
-                merged = federation.hot_relation(self.store, objects, columns)
-                n = merged.where(doomed).count()
-                if n:
-                    count += n
-                    self._replace(table, columns, objects, merged.where(~F.coalesce(doomed, F.lit(False))))
-            return count
+            chunks = self._chunks(table, a, b)
+            if not chunks:
+                return 0
+            merged = federation.hot_relation(self.store, [o for some in chunks.values() for o in some], columns)
+            micros = self._chunk // timedelta(microseconds=1)
+            chunk = F.timestamp_micros(F.unix_micros("time") - F.pmod(F.unix_micros("time"), F.lit(micros)))
+            hit = {r.c.astimezone(UTC): r.n for r in merged.where(doomed).groupBy(chunk.alias("c")).agg(F.count("*").alias("n")).collect()}  # a row per chunk at most
+            old = [o for (start_, _), some in chunks.items() if start_ in hit for o in some]
+            if old:
+                self._replace(table, columns, old, federation.hot_relation(self.store, old, columns).where(~F.coalesce(doomed, F.lit(False))))
+            return sum(hit.values())
 
     def _chunks(self, table: str, start: datetime | None = None, end: datetime | None = None) -> dict[tuple[datetime, datetime], list[ObjectMeta]]:
         """Hot objects by their chunk of time."""
@@ -251,13 +254,13 @@ class Engine:
 
     def fold(self, measurement: str) -> int:
         """Merge the hot writes of each chunk that has several objects into one; returns how many chunks."""
-        table, n = identifier(measurement), 0
+        table = identifier(measurement)
         with self._locks[table]:
-            for objects in self._chunks(table).values():
-                if len(objects) > 1:
-                    self._replace(table, self.columns(table), objects, federation.hot_relation(self.store, objects, self.columns(table)))
-                    n += 1
-        return n
+            several = [some for some in self._chunks(table).values() if len(some) > 1]
+            if several:
+                old = [o for some in several for o in some]
+                self._replace(table, self.columns(table), old, federation.hot_relation(self.store, old, self.columns(table)))
+            return len(several)
 
     # tiers
 
@@ -287,21 +290,22 @@ class Engine:
             with self._locks[table]:
                 columns = self.columns(table)
                 cold = [(o.range_start, o.range_end) for o in self.manifest.objects(table, COLD)]
-                for (a, b), objects in sorted(self._chunks(table).items()):
-                    if b > limit:
-                        continue
-                    exported = []
-                    if not covers(cold, a, b):
-                        exported = self._export(table, columns, objects, a, b)
-                    self.manifest.commit(add=exported, remove=objects)
-                    for o in objects:
-                        self.store.delete(o.object_key)
-                    out.append({"measurement": table, "chunk_start": a.isoformat(), "chunk_end": b.isoformat(), "exported": sum(o.rows for o in exported)})
+                old = {c: some for c, some in sorted(self._chunks(table).items()) if c[1] <= limit}
+                bare = [c for c in old if not covers(cold, *c)]
+                exported = self._export(table, columns, [o for c in bare for o in old[c]]) if bare else []
+                gone = [o for some in old.values() for o in some]
+                self.manifest.commit(add=exported, remove=gone)
+                for o in gone:
+                    self.store.delete(o.object_key)
+                rows = {c: sum(o.rows for o in exported if c[0] <= o.range_start < c[1]) for c in old}
+                out += [{"measurement": table, "chunk_start": a.isoformat(), "chunk_end": b.isoformat(), "exported": rows[a, b]} for a, b in old]
         return out
 
-    def _export(self, table: str, columns: dict[str, str], objects: list[ObjectMeta], start: datetime, end: datetime) -> list[ObjectMeta]:
-        rows = federation.hot_relation(self.store, objects, columns).where((F.col("time") >= F.lit(start)) & (F.col("time") < F.lit(end)))
-        return tiering.write_rows(self.store, rows, f"{table}/cold/export-{start:%Y%m%dT%H%M%S}-{self.manifest.next_version()}", 0, self.config.compact_target_bytes, timedelta(days=1), columns, table, "export")
+    def _export(self, table: str, columns: dict[str, str], objects: list[ObjectMeta]) -> list[ObjectMeta]:
+        """Write the merged rows of some chunks to the cold tier, all in one job."""
+        rows = federation.hot_relation(self.store, objects, columns)
+        size = sum(self.store.bytes_of(o.object_key) for o in objects)
+        return tiering.write_rows(self.store, rows, f"{table}/cold/export-{self.manifest.next_version()}", size, self.config.compact_target_bytes, min(self._chunk, timedelta(days=1)), columns, table, "export")
 
     def export_range(self, measurement: str, path: str, start, end) -> int:
         """Write hot rows of [start, end) as Parquet; returns their number without a second pass."""

@@ -1,0 +1,53 @@
+from __future__ import annotations
+
+import os
+
+import pytest
+
+import corpus_pipeline
+
+DATA = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def small(spark, tmp_path_factory):
+    """Few documents, with nulls, copies and an extra column."""
+    base = tmp_path_factory.mktemp("sf")
+    line = " ".join(f"word{i}" for i in range(60))
+    texts = ["a clean text of its own", None, "", line, line, line + " end", "you idiot trash loser", f"first {line} last", "x\ny"]
+    rows = [(i, t, "en", "s", len(t or ""), i * 2) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, extra int").write.parquet(f"{base}/documents.parquet")
+    spark.createDataFrame([(0, 1, 0), (6, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{base}/labels.parquet")
+    return str(base)
+
+
+def test_stages_keep_the_columns(spark, small, tmp_path):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stage(spark, docs, small).write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        assert docs.columns == columns, name
+    kept = {r.doc_id: r.text for r in docs.collect()}
+    assert kept[0] == "a clean text of its own" and kept[8] == "x\ny"
+    assert 4 not in kept or not kept[4]  # a copy goes with its lines
+    assert all(r.n_chars == len(r.text or "") for r in docs.collect())
+
+
+def test_run(spark, small):
+    out = corpus_pipeline.run(spark, small)
+    assert {"doc_id", "piece", "bin_id", "capacity"} <= set(out.columns) and out.count() > 0
+
+
+def test_empty(spark, small, tmp_path):
+    for t in ("documents", "labels"):
+        spark.read.parquet(f"{small}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the driver's tables")
+def test_all_documents_end_in_a_stage(spark):
+    out = corpus_pipeline.run(spark, DATA)
+    ids = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id")
+    assert out.join(ids, "doc_id", "left_anti").count() == 0
+    assert out.where("bin_id IS NOT NULL").groupBy("bin_id").agg({"n_tokens": "sum", "capacity": "max"}).where("`sum(n_tokens)` > `max(capacity)`").count() == 0

@@ -9,8 +9,10 @@ import atexit
 import gc
 import shutil
 import tempfile
+import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -20,9 +22,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 BROADCAST_BYTES = 8 << 20
 _local: list[str] = []
+_open = threading.local()
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -42,6 +45,8 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._scratch_path = path
+    for scope in getattr(_open, "scopes", [])[-1:]:
+        scope.append(out)
     # shuffle files of the steps behind the table go once the driver has collected their plans
     gc.collect()
     df.sparkSession._jvm.System.gc()
@@ -55,6 +60,30 @@ def drop_table(table: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes the tables written within it at its end, but for those that the yielded function is given.
+
+    What outlives it must be read from kept tables alone. Nested scopes hand what they keep to the outer one.
+    """
+    _open.scopes = [*getattr(_open, "scopes", []), []]
+    kept: list[DataFrame] = []
+
+    def keep(table: DataFrame) -> DataFrame:
+        kept.append(table)
+        return table
+
+    try:
+        yield keep
+    finally:
+        own = _open.scopes.pop()
+        for table in own:
+            if not any(table is k for k in kept):
+                drop_table(table)
+        if _open.scopes:
+            _open.scopes[-1] += [t for t in own if any(t is k for k in kept)]
+
+
 def checked_broadcast(table: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """A table of ``write_table``, to be broadcast if its files hold ``limit`` bytes at most; beyond that joins shuffle."""
     spark = table.sparkSession
@@ -64,9 +93,9 @@ def checked_broadcast(table: DataFrame, limit: int = BROADCAST_BYTES) -> DataFra
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of at most 2,000 rows or 32 MB, so that a Python worker's memory doesn't hang on row width."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+    """Arrow batches of at most 1,000 rows or 16 MB, so that a Python worker's memory doesn't hang on row width."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
 def crc_mod(key: Column, n: int) -> Column:

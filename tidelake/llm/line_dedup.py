@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, drop_table, write_table
+from .common import checked_broadcast, drop_table, scratch, write_table
 
 COUNTERS = 1 << 18
 _HASH_BITS = 56
@@ -78,22 +78,21 @@ def n_index(n: Column) -> Column:
 
 
 def _may_match(p: str, q: str) -> Column:
-    """The filters, for two rows of the prefix table with one word: lengths, prefixes and positions."""
+    """The filters, for two rows of the prefix table with one word: lengths, prefixes, positions and parities.
+
+    At a Jaccard of 0.8, a ninth of both sizes bounds the words that only one set has, and so the bits
+    in which the parities of their words differ. Most chance pairs end there, unread.
+    """
     n, m, i, j = F.col(f"{p}.n"), F.col(f"{q}.n"), F.col(f"{p}.p"), F.col(f"{q}.p")
     lengths = (4 * m <= 5 * n) & (4 * n <= 5 * m)
     prefixes = ((n > m) | (i < n_index(n))) & ((m > n) | (j < n_index(m)))
-    return lengths & prefixes & (F.least(n - i, m - j) >= _ceil(4 * (n + m), 9))
+    few = 9 * F.bit_count(F.col(f"{p}.parity").bitwiseXOR(F.col(f"{q}.parity"))) <= n + m
+    return lengths & few & prefixes & (F.least(n - i, m - j) >= _ceil(4 * (n + m), 9))
 
 
 def _verified(rows: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of sets whose Jaccard is 0.8 or more; their words come from their first lines.
-
-    At that similarity a ninth of both sizes bounds the words that only one has, and so the bits in
-    which the parities of their words differ: most chance pairs end there, unread.
-    """
-    bits = lambda side: sets.select(F.col("set").alias(side), F.struct("parity", "n").alias(f"p{side}"))
-    few = 9 * F.bit_count(F.col("pa.parity").bitwiseXOR(F.col("pb.parity"))) <= F.col("pa.n") + F.col("pb.n")
-    pairs = write_table(pairs.join(bits("a"), "a").join(bits("b"), "b").where(few).select("a", "b"), "line-pairs")
+    """The pairs (a, b) of sets whose Jaccard is 0.8 or more; their words come from their first lines."""
+    pairs = write_table(pairs, "line-pairs")
     wanted = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct().join(sets.select("set", "at"), "set")
     wanted = write_table(wanted.groupBy(F.col("at._key").alias("_key")).agg(F.collect_list(F.struct(F.col("at.line_no").alias("line_no"), "set")).alias("some")), "line-wanted")
     # a line is cut out of its text before the text is multiplied
@@ -127,23 +126,29 @@ def line_sets(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 def matched_sets(rows: DataFrame, known: DataFrame, sets: DataFrame) -> DataFrame:
     """``set`` of the sets whose first line has an earlier line of another set with a Jaccard of 0.8 or more."""
-    spread = sets.where("n >= 4").select("set", "n", F.posexplode("prefix").alias("p", "w"))
-    leaders = spread.groupBy("w").agg(F.min(F.struct("set", "n", "p")).alias("first"), F.count("*").alias("k")).where("k > 1").select("w", "first")
-    # words that one set alone has lead nowhere
-    shared = write_table(spread.join(leaders, "w").select("w", "set", "n", "p", "first"), "line-prefixes")
-    drop_table(sets)
-
-    leader = shared.select("w", "set", "first", F.struct("first.n", "first.p").alias("x"), F.struct("n", "p").alias("y"))
-    near = leader.where((F.col("first.set") < F.col("set")) & _may_match("x", "y")).select(F.col("first.set").alias("a"), F.col("set").alias("b")).distinct()
+    spread = sets.where("n >= 4").select("set", "n", "parity", F.posexplode("prefix").alias("p", "w"))
+    leaders = spread.groupBy("w").agg(F.min(F.struct("set", "n", "p", "parity")).alias("x"), F.count("*").alias("k")).where("k > 1").select("w", "x")
+    near = spread.select("w", F.struct("set", "n", "p", "parity").alias("y")).join(leaders, "w")
+    near = near.where((F.col("x.set") < F.col("y.set")) & _may_match("x", "y")).select(F.col("x.set").alias("a"), F.col("y.set").alias("b")).distinct()
     settled = write_table(_verified(rows, known, near).select(F.col("b").alias("set")).distinct(), "line-settled")
 
-    x = shared.select("w", "set", "n", "p").alias("x")
-    y = shared.select("w", "set", "n", "p").join(settled, "set", "left_anti").alias("y")
-    rest = x.join(y, (F.col("x.w") == F.col("y.w")) & (F.col("x.set") < F.col("y.set")) & _may_match("x", "y")).select(F.col("x.set").alias("a"), F.col("y.set").alias("b")).distinct()
+    # both sides of the join are one table and one shuffle: what tells them apart is in the condition
+    marked = sets.where("n >= 4").join(checked_broadcast(settled).withColumn("done", F.lit(1)), "set", "left")
+    table = write_table(marked.select("set", "n", "parity", F.coalesce("done", F.lit(0)).alias("done"), F.lit(1).alias("one"), F.posexplode("prefix").alias("p", "w")), "line-prefixes")
+    drop_table(sets)
+    x, y = table.alias("x"), table.alias("y")
+    rest = x.join(y, (F.col("x.w") == F.col("y.w")) & (F.col("x.set") < F.col("y.set")) & (F.col("y.done") < F.col("x.one")) & _may_match("x", "y"))
+    rest = rest.select(F.col("x.set").alias("a"), F.col("y.set").alias("b")).distinct()
     found = _verified(rows, known, rest).select(F.col("b").alias("set"))
-    drop_later = write_table(settled.unionByName(found).distinct(), "line-matched")
-    drop_table(shared)
-    return drop_later
+    return write_table(settled.unionByName(found).distinct(), "line-matched")
+
+
+def _gone_lines(rows: DataFrame) -> DataFrame:
+    """``_key, _gone``: the numbers of the lines that go, of the texts that lose some."""
+    lines, known, sets = line_sets(rows)
+    matched = matched_sets(rows, known, sets).withColumn("all", F.lit(True))
+    limits = known.join(matched, "set", "left").where("k > 1 or all").select("words", "at", F.coalesce("all", F.lit(False)).alias("all"))
+    return lines.join(limits, "words").where(F.col("all") | (F.struct("_id", "_key", "line_no") > F.col("at"))).groupBy("_key").agg(F.collect_set("line_no").alias("_gone"))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -158,11 +163,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     key = F.xxhash64(id_col, text_col)
     rows = docs.where(F.col(text_col).isNotNull()).select(key.alias("_key"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    lines, known, sets = line_sets(rows)
-    matched = matched_sets(rows, known, sets).withColumn("all", F.lit(True))
-    limits = known.join(matched, "set", "left").where("k > 1 or all").select("words", "at", F.coalesce("all", F.lit(False)).alias("all"))
-    gone = lines.join(limits, "words").where(F.col("all") | (F.struct("_id", "_key", "line_no") > F.col("at"))).groupBy("_key").agg(F.collect_set("line_no").alias("_gone"))
-    gone = write_table(gone, "line-gone")
+    with scratch() as keep:
+        gone = keep(write_table(_gone_lines(rows), "line-gone"))
     carried = [c for c in docs.columns if c not in ("n_lines", "n_removed", "_key", "_gone")]
     parts = F.split(text_col, "\n")
     kept = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains("_gone", i)), "\n")

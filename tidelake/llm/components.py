@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import write_table
+from .common import scratch, write_table
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -31,11 +31,17 @@ def components(links: DataFrame) -> DataFrame:
 
     Links of a node to itself are ignored; an empty table has no components.
     """
+    with scratch() as keep:
+        return keep(_components(links))
+
+
+def _components(links: DataFrame) -> DataFrame:
     now = write_table(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     state = None
     while True:
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if state == mark:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
+            found = now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")))
+            return write_table(found.distinct(), "components")
         state = mark
         now = write_table(_small_star(_large_star(now).where("a <> b").distinct()).where("a <> b").distinct(), "links")

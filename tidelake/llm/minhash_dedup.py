@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import checked_broadcast, gram_hashes, hash_words, mix64, slices, small_batches, words, write_table
+from .common import checked_broadcast, gram_hashes, hash_words, mix64, scratch, slices, small_batches, words, write_table
 from .components import components
 
 SHINGLE = 5
@@ -260,7 +260,7 @@ def _groups_by_estimate(sketches: DataFrame) -> DataFrame:
     one, two = short.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), short.select(F.col("node").alias("b"), F.col("sketch").alias("sb"))
     stars = members.where("node <> a").select("a", F.col("node").alias("b")).distinct()
     likely = write_table(stars.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(_likely, "a long, b long"), "near-stars")
-    comps = write_table(components(likely), "near-groups")
+    comps = components(likely)
 
     of = _or_self(members.select("band", "node"), comps, "comp")
     counted = of.groupBy("band", "comp").agg(F.count("*").alias("n"))
@@ -330,10 +330,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("_text"), F.xxhash64(text).alias("node"))
     ids = rows.select("doc_id", "node")
     first = ids.groupBy("node").agg(F.min("doc_id").alias("_first"))
-    sketches = write_table(rows.select("node", "_text").mapInArrow(_sketch, "node long, bands array<long>, sketch binary").groupBy("node").agg(F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "sketches")
-    classes = components(_verified_links(rows, first, sketches, similar))
+    with scratch() as keep:
+        sketches = write_table(rows.select("node", "_text").mapInArrow(_sketch, "node long, bands array<long>, sketch binary").groupBy("node").agg(F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "sketches")
+        classes = keep(components(_verified_links(rows, first, sketches, similar)))
 
     classed = ids.join(classes, "node", "left").select("doc_id", "node", F.coalesce("component", "node").alias("_class"))
     per_text = classed.groupBy("_class", "node").agg(F.min("doc_id").alias("d"), F.count("*").alias("n"))
-    sizes = per_text.groupBy("_class").agg(F.min("d").alias("class_id"), F.sum("n").alias("class_size"), F.count("*").alias("n_texts"))
+    # written, so that the join with the rows of a large class can be split
+    sizes = write_table(per_text.groupBy("_class").agg(F.min("d").alias("class_id"), F.sum("n").alias("class_size"), F.count("*").alias("n_texts")), "near-classes")
     return classed.join(sizes, "_class").select("doc_id", "class_id", "class_size", "n_texts", F.coalesce(F.col("doc_id") == F.col("class_id"), F.col("class_id").isNull()).alias("kept"))

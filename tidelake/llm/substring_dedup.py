@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import gram_hashes, hash_words, slices, small_batches, words, write_table
+from .common import gram_hashes, hash_words, scratch, slices, small_batches, words, write_table
 
 WINDOW = 35
 GRAM = 8
@@ -96,7 +96,7 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW) -> DataFrame:
     found = write_table(rows.mapInArrow(parse, "anchor long, content long, _key long, start int, n int"), "rlz-phrases")
     distinct = found.groupBy("anchor", "content").agg(F.count("*").alias("c"), F.min(F.struct("_key", "start", "n")).alias("at"))
     distinct = write_table(distinct, "rlz-distinct")
-    whole = found.join(distinct.where("c > 1").select("anchor", "content"), ["anchor", "content"], "left_semi").select("_key", "start", "n")
+    whole = write_table(found.join(distinct.where("c > 1").select("anchor", "content"), ["anchor", "content"], "left_semi").select("_key", "start", "n"), "rlz-whole")
 
     shared = distinct.groupBy("anchor").agg(F.count("*").alias("d")).where("d > 1").select("anchor")
     open_ = distinct.join(shared, "anchor", "left_semi").select("at._key", "at.start", "at.n")
@@ -115,7 +115,7 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW) -> DataFrame:
 
     windows = write_table(rows.join(listed, "_key").select("_key", "_text", "spans").mapInArrow(look, "print long, _key long, start int"), "rlz-windows")
     again = windows.groupBy("print").agg(F.count("*").alias("c")).where("c > 1").select("print")
-    single = windows.join(again, "print", "left_semi").select("_key", "start", F.lit(1).alias("n"))
+    single = write_table(windows.join(again, "print", "left_semi").select("_key", "start", F.lit(1).alias("n")), "rlz-single")
     return whole.unionByName(single).groupBy("_key").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
 
 
@@ -131,7 +131,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     small_batches(docs.sparkSession)
     key = F.xxhash64(id_col, text_col).alias("_key")
     rows = docs.select(key, F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    spans = repeated_spans(rows, window)
+    with scratch() as keep:
+        spans = keep(write_table(repeated_spans(rows, window), "rlz-spans"))
     made = list(MADE)
     carried = [c for c in docs.columns if c not in made and c != "_key"]
     joined = docs.select(*carried, key).join(spans, "_key", "left").select(*carried, "spans")

@@ -6,6 +6,7 @@ Words are maximal runs of bytes other than space and 0x09-0x0D, unchanged. Null
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import shutil
 import tempfile
@@ -22,10 +23,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 BROADCAST_BYTES = 8 << 20
+TRIM_BYTES = 8 << 20
 _local: list[str] = []
 _open = threading.local()
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+except OSError:  # not on glibc
+    _libc = None
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -103,16 +109,27 @@ def crc_mod(key: Column, n: int) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % F.lit(n)
 
 
+def _trim() -> None:
+    """Give freed memory back to the system: workers live through many stages, side by side with the JVM."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
 def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, pa.Array]]:
     """Runs of rows of about ``limit`` bytes (always one row at least), with the place of their first row."""
     texts = pc.fill_null(texts, "")
     ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
-    at = 0
+    at = freed = 0
     while at < len(texts):
         before = int(ends[at - 1]) if at else 0
         to = max(at + 1, int(np.searchsorted(ends, before + limit, side="right")))
         yield at, texts.slice(at, to - at)
         at = to
+        freed += int(ends[to - 1]) - before
+        if freed > TRIM_BYTES:
+            freed = 0
+            _trim()
 
 
 def words(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:

@@ -98,8 +98,11 @@ def _verified(rows: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
     # a line is cut out of its text before the text is multiplied
     lines = F.transform("some", lambda x: F.struct(x["set"].alias("set"), F.get(F.split("_text", "\n"), x["line_no"]).alias("line")))
     read = rows.select("_key", "_text").join(checked_broadcast(wanted), "_key").select(F.inline(lines)).groupBy("set").agg(F.first("line").alias("line"))
-    read = write_table(read.select("set", F.array_distinct(split_words(F.col("line"))).alias("w")), "line-words")
-    both = pairs.join(read.select(F.col("set").alias("a"), F.col("w").alias("wa")), "a").join(read.select(F.col("set").alias("b"), F.col("w").alias("wb")), "b")
+    read = write_table(read, "line-texts")
+    # pairs carry the lines, which are several times smaller than arrays of their words
+    both = pairs.join(read.select(F.col("set").alias("a"), F.col("line").alias("la")), "a").join(read.select(F.col("set").alias("b"), F.col("line").alias("lb")), "b")
+    wa, wb = (F.array_distinct(split_words(F.col(c))) for c in ("la", "lb"))
+    both = both.select("a", "b", wa.alias("wa"), wb.alias("wb"))
     return both.where(9 * F.size(F.array_intersect("wa", "wb")) >= 4 * (F.size("wa") + F.size("wb"))).select("a", "b")
 
 
@@ -137,7 +140,7 @@ def matched_sets(rows: DataFrame, known: DataFrame, sets: DataFrame) -> DataFram
     table = write_table(marked.select("set", "n", "parity", F.coalesce("done", F.lit(0)).alias("done"), F.lit(1).alias("one"), F.posexplode("prefix").alias("p", "w")), "line-prefixes")
     drop_table(sets)
     x, y = table.alias("x"), table.alias("y")
-    rest = x.join(y, (F.col("x.w") == F.col("y.w")) & (F.col("x.set") < F.col("y.set")) & (F.col("y.done") < F.col("x.one")) & _may_match("x", "y"))
+    rest = x.join(y, (F.col("x.w") == F.col("y.w")) & (F.col("x.set") < F.col("y.set")) & (F.col("y.done") < F.col("x.one")) & (F.col("x.done") <= F.col("y.one")) & _may_match("x", "y"))
     rest = rest.select(F.col("x.set").alias("a"), F.col("y.set").alias("b")).distinct()
     found = _verified(rows, known, rest).select(F.col("b").alias("set"))
     return write_table(settled.unionByName(found).distinct(), "line-matched")

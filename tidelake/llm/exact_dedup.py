@@ -34,7 +34,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .select("doc_id", F.octet_length("_text").alias("_len"), F.sha2("_text", 256).alias("_sha"))
     )
     groups = full.groupBy("_len", "_sha").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1")
-    copies = full.join(groups, ["_len", "_sha"]).groupBy("doc_id", "_len").agg(F.max("keep_id").alias("keep_id"), F.max("group_size").alias("group_size"))
+    # joined by digest alone, so that the join has a shuffle of its own and a large group can be split
+    copies = full.join(groups.drop("_len"), "_sha").groupBy("doc_id", "_len").agg(F.max("keep_id").alias("keep_id"), F.max("group_size").alias("group_size"))
     # the length tells rows apart that share an id but not a text
     return (
         rows.select("doc_id", "_len")

@@ -6,10 +6,12 @@ import urllib.error
 import urllib.request
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidelake.engine import Config, Engine, EngineError
 from tidelake.http import serve
 from tidelake.operators.rollup import Rollup
+from tidelake.sources.bulk import read_csv
 from tidelake.sources.synthetic import synthetic_lines
 from tidelake.streaming.ingest import Schedule, ingest
 
@@ -189,3 +191,13 @@ def test_schedule_survives_errors():
     assert len(s.errors) >= 2
 
 
+
+
+def test_bulk_load_of_csv(engine, spark, tmp_path):
+    (tmp_path / "in.csv").write_text("time,sensor,location,temperature\n2024-01-01 10:00:00,1,kitchen,21.4\n2024-01-01 10:00:00,1,kitchen,21.5\n2024-01-01 10:01:00,2,,19\n")
+    df = read_csv(spark, f"file://{tmp_path}/in.csv", "time timestamp, sensor int, location string, temperature double")
+    assert engine.load(df, "sensors", ["sensor", "location"], ["temperature"], order="temperature") == 2
+    assert rows(engine.relation("sensors", "all"), "t_sensor", "t_location", "f_temperature") == [("1", "kitchen", 21.5), ("2", None, 19.0)]
+    assert engine.load(df.limit(0), "sensors", ["sensor"], ["temperature"]) == 0
+    with pytest.raises(EngineError):
+        engine.load(df.withColumn("time", F.lit(None).cast("timestamp")), "sensors", ["sensor"], ["temperature"])

@@ -12,8 +12,10 @@ from datetime import UTC, datetime, timedelta
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .functions import lattice
+from .functions.hashing import with_hash_of_columns
 from .functions.naming import distinct_columns, field_column, identifier, tag_column
 from .functions.time import PRECISION_NS, as_utc, parse_width, register_time_bucket
 from .operators.dedup import newest_by_seq
@@ -134,17 +136,54 @@ class Engine:
         finally:
             parsed.unpersist()
 
-    def _write_measurement(self, measurement: str, points: DataFrame, tags: list[str], fields: dict[str, str], base: int) -> int:
+    def load(self, df: DataFrame, measurement: str, tags: Sequence[str], fields: Sequence[str], time: str = "time", order: str | None = None) -> int:
+        """Upsert a table's rows: the bulk path, without text in between. Returns the number of rows kept.
+
+        Tags are read as text; a field has the narrowest type of the lattice that holds its column. Of equal
+        keys the row with the largest ``order`` wins, or else any one. Rows without a time are an error.
+        """
+        kinds = {"tinyint": "bigint", "smallint": "bigint", "int": "bigint", "bigint": "bigint", "float": "double", "double": "double", "boolean": "boolean"}
+        have = dict(df.dtypes)
+        types = {c: "double" if have[c].startswith("decimal") else kinds.get(have[c], "string") for c in fields}
         table = identifier(measurement)
+        t, f = self._columns_of(tags, fields)
+        with self._locks[table]:
+            wide = self._evolve(table, {c: "string" for c in t.values()} | {f[k]: types[k] for k in fields})
+            base = self.manifest.next_version()
+            place = F.monotonically_increasing_id() if order is None else F.row_number().over(Window.partitionBy(F.col(time), *tags).orderBy(order))
+            rows = with_hash_of_columns(df, {k: k for k in tags}).select(
+                F.col(time).cast("timestamp").alias("time"),
+                "tag_hash",
+                (F.lit(base) + place).alias("seq"),
+                *[F.col(k).cast("string").alias(c) for k, c in t.items()],
+                *[lattice.widen(F.col(k).cast(types[k]), types[k], wide[c]).alias(c) for k, c in f.items()],
+            )
+            return self._upsert(table, rows, wide)
+
+    @staticmethod
+    def _columns_of(tags: Sequence[str], fields: Sequence[str]) -> tuple[dict[str, str], dict[str, str]]:
         try:
-            t, f = distinct_columns(tags, tag_column), distinct_columns(list(fields), field_column)
+            return distinct_columns(list(tags), tag_column), distinct_columns(list(fields), field_column)
         except ValueError as e:
             raise EngineError(400, str(e)) from None
+
+    def _write_measurement(self, measurement: str, points: DataFrame, tags: list[str], fields: dict[str, str], base: int) -> int:
+        table = identifier(measurement)
+        t, f = self._columns_of(tags, list(fields))
         with self._locks[table]:
             types = self._evolve(table, {c: "string" for c in t.values()} | {f[k]: fields[k] for k in fields})
-            rows = newest_by_seq(wide_rows(points, tags, {k: types[f[k]] for k in fields}, base)).persist()
+            return self._upsert(table, wide_rows(points, tags, {k: types[f[k]] for k in fields}, base), types)
+
+    def _upsert(self, table: str, rows: DataFrame, types: dict[str, str]) -> int:
+        """Write the newest row of each key to both tiers. Durable in the cold one first."""
+        with self._locks[table]:
+            rows = newest_by_seq(rows).persist()
             try:
-                bounds = rows.agg(F.min("seq").alias("x"), F.max("seq").alias("y"), F.count("*").alias("n"), F.min("time").alias("a"), F.max("time").alias("b")).first()
+                bounds = rows.agg(F.min("seq").alias("x"), F.max("seq").alias("y"), F.count("*").alias("n"), F.count("time").alias("timed"), F.min("time").alias("a"), F.max("time").alias("b")).first()
+                if not bounds.n:
+                    return 0
+                if bounds.timed < bounds.n:
+                    raise EngineError(400, "rows without a time")
                 if self.config.write_through:  # cold first: it has every write that was acknowledged
                     key = staging_key(table, bounds.x, bounds.y)
                     rows.write.mode("overwrite").option("compression", "zstd").parquet(self.store.path(key))

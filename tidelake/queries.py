@@ -271,10 +271,14 @@ def eviction_eligible(spark, sf_dir):
 # the engine itself, over a root of its own
 
 
+def _new_engine(spark: SparkSession, config: Config | None = None) -> Engine:
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    return Engine(spark, f"{base.rstrip('/')}/tidelake-{uuid.uuid4().hex}", config)
+
+
 def _engine(spark: SparkSession, sf_dir: str, config: Config | None = None) -> Engine:
     """A store filled from events through line protocol, and rewritten in part."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    engine = Engine(spark, f"{base.rstrip('/')}/tidelake-{uuid.uuid4().hex}", config)
+    engine = _new_engine(spark, config)
     m = measurement(spark, sf_dir)
     for version in (m, rewritten(m)):
         lines = lineproto.to_lines(version, "events", {"event_type": "t_event_type", "user_id": "t_user_id"}, {"value": "f_value", "k": "f_k"})
@@ -292,6 +296,15 @@ def engine_round_trip(spark, sf_dir):
     return out.select(plain("time"), "t_event_type", "t_user_id", "f_value", "f_k")
 
 
+@query(f"WITH v AS ({_V}) SELECT time, t_event_type, t_user_id, max(f_value) AS f_value FROM (SELECT * FROM v UNION ALL SELECT * REPLACE (f_value + 5000 AS f_value) FROM v WHERE seq % 5 = 0) GROUP BY ALL")
+def engine_bulk_load(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("ts", "event_type", "user_id", "value")
+    again = table(spark, sf_dir, "events").where("event_id % 5 = 0").select("ts", "event_type", "user_id", (F.col("value") + 5000).alias("value"))
+    engine = _new_engine(spark)
+    engine.load(e.unionByName(again), "events", ["event_type", "user_id"], ["value"], "ts", "value")
+    return engine.relation("events").select(plain("time"), "t_event_type", "t_user_id", "f_value")
+
+
 @query(_LAST)
 def engine_compacted_and_evicted(spark, sf_dir):
     engine = _engine(spark, sf_dir)
@@ -432,6 +445,7 @@ passed("sql_grouping_sets", "SELECT l_returnflag, l_linestatus, count(*) AS n, g
 passed("sql_rollup_having", "SELECT event_type, user_id, count(*) AS n FROM events GROUP BY ROLLUP (event_type, user_id) HAVING count(*) > 3")
 passed("sql_cube", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)")
 passed("sql_distinct_aggregates", "SELECT event_type, count(DISTINCT user_id) AS users, min(value) AS low, max(value) AS high FROM events GROUP BY event_type")
+passed("sql_first_and_last", "SELECT event_type, min_by(value, ts) AS first, max_by(value, ts) AS last FROM events GROUP BY event_type")
 passed("sql_windows", "SELECT event_id, rank() OVER (PARTITION BY event_type ORDER BY user_id) AS r, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts) AS previous, cast(sum(event_id) OVER (PARTITION BY event_type ORDER BY ts ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS bigint) AS s FROM events")
 passed("sql_set_operations", "(SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier) UNION (SELECT n_nationkey FROM nation WHERE n_regionkey = 1 EXCEPT SELECT s_nationkey FROM supplier)")
 passed("sql_pricing_summary", "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, round(avg(l_discount), 6) AS avg_disc, count(*) AS n FROM lineitem WHERE l_shipdate <= '1998-09-02' GROUP BY l_returnflag, l_linestatus")

@@ -34,7 +34,7 @@ class ToxicModel:
     """Log-odds of at most ``MODEL_TOKENS`` tokens, and a few numbers."""
 
     odds: dict[str, float] = field(default_factory=dict)
-    shift: float = 0.25
+    shift: float = 0.4
     lam: float = 1.0
     log_k: float = 0.0
     level: float = math.log(20.0)
@@ -72,7 +72,7 @@ def passages(scores: np.ndarray) -> list[tuple[int, int, float]]:
     return [(a, b, y - x) for a, b, x, y, _ in stack]
 
 
-def log_odds(counts: dict[str, tuple[int, int]], totals: tuple[int, int], prior: float = 1000.0, z_least: float = 3.0) -> dict[str, float]:
+def log_odds(counts: dict[str, tuple[int, int]], totals: tuple[int, int], prior: float = 20_000.0, z_least: float = 2.5) -> dict[str, float]:
     """Token -> log-odds of the toxic class, of the tokens whose log-odds differ from zero by z_least deviations."""
     n1, n0 = totals
     out = {}

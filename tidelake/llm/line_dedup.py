@@ -57,10 +57,17 @@ def word_keys(line: Column, classes: str) -> Column:
     return F.sort_array(F.array_distinct(F.transform(split_words(line), key)))
 
 
-def parity(keys: Column) -> Column:
-    """64 bits, each flipped by every key that it stands for."""
-    one = F.lit(1).cast("long")
-    return F.aggregate(keys, F.lit(0).cast("long"), lambda bits, k: bits.bitwiseXOR(F.call_function("shiftleft", one, k.bitwiseAND(F.lit(63)).cast("int"))))
+def parities(keys: Column) -> list[Column]:
+    """128 bits in two numbers; every key flips one of them."""
+
+    def half(which: int) -> Column:
+        def flip(bits: Column, k: Column) -> Column:
+            own = F.call_function("shiftright", k, F.lit(6)).bitwiseAND(F.lit(1).cast("long"))
+            return bits.bitwiseXOR(F.call_function("shiftleft", own if which else 1 - own, k.bitwiseAND(F.lit(63)).cast("int")))
+
+        return F.aggregate(keys, F.lit(0).cast("long"), flip)
+
+    return [half(0).alias("even"), half(1).alias("odd")]
 
 
 def _ceil(num: Column, of: int) -> Column:
@@ -86,7 +93,8 @@ def _may_match(p: str, q: str) -> Column:
     n, m, i, j = F.col(f"{p}.n"), F.col(f"{q}.n"), F.col(f"{p}.p"), F.col(f"{q}.p")
     lengths = (4 * m <= 5 * n) & (4 * n <= 5 * m)
     prefixes = ((n > m) | (i < n_index(n))) & ((m > n) | (j < n_index(m)))
-    few = 9 * F.bit_count(F.col(f"{p}.parity").bitwiseXOR(F.col(f"{q}.parity"))) <= n + m
+    apart = [F.bit_count(F.col(f"{p}.{c}").bitwiseXOR(F.col(f"{q}.{c}"))) for c in ("even", "odd")]
+    few = 9 * (apart[0] + apart[1]) <= n + m
     return lengths & few & prefixes & (F.least(n - i, m - j) >= _ceil(4 * (n + m), 9))
 
 
@@ -107,7 +115,7 @@ def _verified(rows: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def line_sets(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Lines (_key, _id, line_no, words) that hold words; their sets (set, words, at, n, parity, k), with
+    """Lines (_key, _id, line_no, words) that hold words; their sets (set, words, at, n, even, odd, k), with
     first place and number of lines; and the sets' rarest words (set, n, prefix).
 
     ``words`` is the hash of a set, ``set`` its number in order of first places. rows: _key, _id, _text.
@@ -116,9 +124,9 @@ def line_sets(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     lines = rows.select("_key", "_id", F.posexplode(F.split("_text", "\n")).alias("line_no", "_line"))
     keyed = lines.select("_key", "_id", "line_no", word_keys(F.col("_line"), classes).alias("w")).where("size(w) > 0")
     n = F.size("w")
-    read = write_table(keyed.select("_key", "_id", "line_no", F.xxhash64("w").alias("words"), n.alias("n"), parity(F.col("w")).alias("parity"), F.when(n >= 4, F.slice("w", F.lit(1), n_probe(n))).alias("prefix")), "lines")
+    read = write_table(keyed.select("_key", "_id", "line_no", F.xxhash64("w").alias("words"), n.alias("n"), *parities(F.col("w")), F.when(n >= 4, F.slice("w", F.lit(1), n_probe(n))).alias("prefix")), "lines")
     place = F.struct("_id", "_key", "line_no")
-    sets = read.groupBy("words").agg(F.min(F.struct(place.alias("at"), "n", "parity", "prefix")).alias("m"), F.count("*").alias("k")).select("words", "m.*", "k")
+    sets = read.groupBy("words").agg(F.min(F.struct(place.alias("at"), "n", "even", "odd", "prefix")).alias("m"), F.count("*").alias("k")).select("words", "m.*", "k")
     # numbers that rise with the first places; written, so that they stay
     sets = write_table(sets.orderBy("at").withColumn("set", F.monotonically_increasing_id()), "line-sets")
     lines = write_table(read.select("_key", "_id", "line_no", "words"), "line-places")
@@ -129,15 +137,15 @@ def line_sets(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 def matched_sets(rows: DataFrame, known: DataFrame, sets: DataFrame) -> DataFrame:
     """``set`` of the sets whose first line has an earlier line of another set with a Jaccard of 0.8 or more."""
-    spread = sets.where("n >= 4").select("set", "n", "parity", F.posexplode("prefix").alias("p", "w"))
-    leaders = spread.groupBy("w").agg(F.min(F.struct("set", "n", "p", "parity")).alias("x"), F.count("*").alias("k")).where("k > 1").select("w", "x")
-    near = spread.select("w", F.struct("set", "n", "p", "parity").alias("y")).join(leaders, "w")
+    spread = sets.where("n >= 4").select("set", "n", "even", "odd", F.posexplode("prefix").alias("p", "w"))
+    leaders = spread.groupBy("w").agg(F.min(F.struct("set", "n", "p", "even", "odd")).alias("x"), F.count("*").alias("k")).where("k > 1").select("w", "x")
+    near = spread.select("w", F.struct("set", "n", "p", "even", "odd").alias("y")).join(leaders, "w")
     near = near.where((F.col("x.set") < F.col("y.set")) & _may_match("x", "y")).select(F.col("x.set").alias("a"), F.col("y.set").alias("b")).distinct()
     settled = write_table(_verified(rows, known, near).select(F.col("b").alias("set")).distinct(), "line-settled")
 
     # both sides of the join are one table and one shuffle: what tells them apart is in the condition
     marked = sets.where("n >= 4").join(checked_broadcast(settled).withColumn("done", F.lit(1)), "set", "left")
-    table = write_table(marked.select("set", "n", "parity", F.coalesce("done", F.lit(0)).alias("done"), F.lit(1).alias("one"), F.posexplode("prefix").alias("p", "w")), "line-prefixes")
+    table = write_table(marked.select("set", "n", "even", "odd", F.coalesce("done", F.lit(0)).alias("done"), F.lit(1).alias("one"), F.posexplode("prefix").alias("p", "w")), "line-prefixes")
     drop_table(sets)
     x, y = table.alias("x"), table.alias("y")
     rest = x.join(y, (F.col("x.w") == F.col("y.w")) & (F.col("x.set") < F.col("y.set")) & (F.col("y.done") < F.col("x.one")) & (F.col("x.done") <= F.col("y.one")) & _may_match("x", "y"))

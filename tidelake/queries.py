@@ -423,6 +423,14 @@ def as_of_join(spark, sf_dir):
     return asof_join(o, e, ["k"], "at", "ts", ["event_id", "value"]).select("o_orderkey", "o_orderdate", "event_id", "value")
 
 
+@query("SELECT o_orderkey, o_orderdate, e.event_id, e.value FROM orders o ASOF LEFT JOIN (SELECT user_id % 10 AS k, ts, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY 1, 2) e ON o.o_custkey % 10 = e.k AND o.o_orderdate + INTERVAL '9490 days' >= e.ts")
+def as_of_join_all(spark, sf_dir):
+    """All orders; as_of_join has a third of them."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", (F.col("o_custkey") % 10).alias("k"), (F.col("o_orderdate") + F.expr("INTERVAL '9490' DAY")).alias("at"))
+    e = table(spark, sf_dir, "events").select((F.col("user_id") % 10).alias("k"), "ts", "event_id", "value")
+    return asof_join(o, e, ["k"], "at", "ts", ["event_id", "value"]).select("o_orderkey", "o_orderdate", "event_id", "value")
+
+
 def passed(name: str, sql: str) -> None:
     """SQL that both engines take as it is."""
 

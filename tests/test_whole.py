@@ -7,7 +7,9 @@ from datetime import datetime, timedelta
 
 import pytest
 
+from tidelake.engine import Engine
 from tidelake.queries import QUERIES
+from tidelake.streaming.ingest import ingest
 
 DATA = "/root/testdata/sf0.001"
 needs_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the driver's tables")
@@ -29,3 +31,17 @@ def test_islands_and_coverage_take_every_user(spark, tmp_path):
     assert [tuple(r) for r in islands] == [("click", day, day + timedelta(minutes=306), 10)]
     covered = {r.chunk_start: r.covered for r in QUERIES["chunk_coverage_all"](spark, str(tmp_path)).collect()}
     assert covered == {day: True, day + timedelta(hours=4): False}
+
+
+def test_every_error_is_returned_and_counted(spark, tmp_path):
+    engine = Engine(spark, f"file://{tmp_path}/root")
+    bad = ["bad"] * 1500
+    done = engine.write("\n".join([*bad, "cpu v=1 1700000000000000000"]))
+    assert (done.accepted, done.failed) == (1, 1500)
+    assert [e["line"] for e in done.errors] == list(range(1, 1501))
+    spark.createDataFrame([(b,) for b in bad], "value string").write.text(f"{tmp_path}/in")
+    ingest(engine, spark.readStream.text(f"{tmp_path}/in"), f"{tmp_path}/check", available_now=True).awaitTermination()
+    assert engine.counters["failed"] == 1500
+    kept = spark.read.parquet(f"{tmp_path}/root/_errors/*")
+    assert kept.count() == 1500 and kept.where("error IS NULL").count() == 0
+    assert engine.relation("cpu").count() == 1

@@ -51,10 +51,12 @@ class Config:
 class WriteResult:
     accepted: int
     errors: list[dict]
+    failed: int = 0  # bad lines, whether they are in errors or in the table at errors_path
+    errors_path: str | None = None
 
     @property
     def status(self) -> int:
-        return 200 if self.errors else 204
+        return 200 if self.failed else 204
 
 
 class Engine:
@@ -109,17 +111,25 @@ class Engine:
         parsed = lineproto.parse_body(self.spark, body, precision)
         return self.write_points(parsed)
 
-    def write_points(self, parsed: DataFrame, seq_base: int | None = None) -> WriteResult:
-        """Upsert the points of a parsed frame; its errors are returned (the first thousand of them).
+    def write_points(self, parsed: DataFrame, seq_base: int | None = None, errors_key: str | None = None) -> WriteResult:
+        """Upsert the points of a parsed frame; all its errors are returned, or with ``errors_key`` written.
 
         ``seq_base`` fixes the sequence numbers, and so the objects' names: a batch that is written again
-        replaces itself.
+        replaces itself. ``errors_key`` is for batches of any size: their errors (ordinal, line, error) become
+        a table of that name in the store, and the result has its path and their number.
         """
         parsed = parsed.persist()
         try:
             base = self.manifest.next_version() if seq_base is None else seq_base
             points = parsed.where("error IS NULL")
-            errors = [{"line": r.line_no, "error": r.error} for r in parsed.where("error IS NOT NULL").orderBy("ordinal").limit(1000).collect()]
+            bad = parsed.where("error IS NOT NULL").select("ordinal", F.col("line_no").alias("line"), "error")
+            errors, path = [], None
+            if errors_key is None:
+                errors = [{"line": r.line, "error": r.error} for r in bad.orderBy("ordinal").collect()]
+                failed = len(errors)
+            elif failed := bad.count():
+                path = self.store.path(errors_key)
+                bad.write.mode("overwrite").parquet(path)
             names: dict[str, list] = defaultdict(list)
             for r in names_and_types(points).collect():  # as many rows as there are columns
                 names[r.measurement].append(r)
@@ -129,7 +139,7 @@ class Engine:
                 fields = {r.name: lattice.TYPES[r["rank"]] for r in sorted(names[m], key=lambda r: r.name) if r.kind == "field"}
                 total += self._write_measurement(m, points.where(F.col("measurement") == m), tags, fields, base)
             self.counters["written"] += total
-            return WriteResult(points.count(), errors)
+            return WriteResult(points.count(), errors, failed, path)
         except PySparkException:
             self.counters["failed"] += 1
             raise

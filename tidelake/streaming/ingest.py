@@ -37,7 +37,8 @@ def ingest(engine: Engine, lines: DataFrame, checkpoint: str, precision: str = "
 
     A micro-batch has its own range of sequence numbers, made from its id, and objects named after
     them: a batch that is run again after a failure replaces what it had written. Late points are
-    upserts like any other, so there is no watermark. Bad lines are counted as failed and skipped.
+    upserts like any other, so there is no watermark. Bad lines are counted as failed and skipped; a
+    batch's errors are the table ``_errors/N`` of the store, N being the batch's first sequence number.
     The source's rate options bound a batch, and its backlog waits in the source.
     """
     if precision not in PRECISION_NS:
@@ -46,8 +47,9 @@ def ingest(engine: Engine, lines: DataFrame, checkpoint: str, precision: str = "
 
     def write(batch: DataFrame, batch_id: int) -> None:
         numbered = batch.select(F.monotonically_increasing_id().alias("ordinal"), F.lit(None).cast("bigint").alias("line_no"), F.col("value").alias("line"))
-        done = engine.write_points(lineproto.parse_lines(numbered, precision), epoch + (batch_id << BATCH_BITS))
-        engine.counters["failed"] += len(done.errors)
+        base = epoch + (batch_id << BATCH_BITS)
+        done = engine.write_points(lineproto.parse_lines(numbered, precision), base, f"_errors/{base}")
+        engine.counters["failed"] += done.failed
 
     stream = lines.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (stream.trigger(availableNow=True) if available_now else stream.trigger(processingTime=every)).start()

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 from datetime import datetime, timedelta
 
 import pytest
 
 from tidelake.engine import Engine
+from tidelake.llm.queries import op2_exact_dedup
 from tidelake.queries import QUERIES
 from tidelake.streaming.ingest import ingest
 
@@ -45,3 +47,16 @@ def test_every_error_is_returned_and_counted(spark, tmp_path):
     kept = spark.read.parquet(f"{tmp_path}/root/_errors/*")
     assert kept.count() == 1500 and kept.where("error IS NULL").count() == 0
     assert engine.relation("cpu").count() == 1
+
+
+def test_exact_dedup_keeps_rows_with_null_and_repeated_ids(spark, tmp_path):
+    head = "p" * 300
+    rows = [(None, "a"), (1, "a"), (None, "b"), (2, "c"), (2, "c"), (3, head + "x"), (3, head + "y"), (4, head + "x"), (5, None), (6, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((tuple(r) for r in op2_exact_dedup(spark, str(tmp_path)).collect()), key=str)
+    want = []
+    for i, t in rows:
+        ids = [j for j, u in rows if (u or "") == (t or "")]
+        keep = max((j for j in ids if j is not None), default=None)
+        want.append((i, keep, len(ids), i is None or i == keep, hashlib.sha256((t or "").encode()).hexdigest()))
+    assert got == sorted(want, key=str)

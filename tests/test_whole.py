@@ -60,3 +60,11 @@ def test_exact_dedup_keeps_rows_with_null_and_repeated_ids(spark, tmp_path):
         keep = max((j for j in ids if j is not None), default=None)
         want.append((i, keep, len(ids), i is None or i == keep, hashlib.sha256((t or "").encode()).hexdigest()))
     assert got == sorted(want, key=str)
+
+
+def test_rollup_takes_every_day(spark, tmp_path):
+    days = [datetime(2023, 12, 30, 5), datetime(2024, 1, 9, 23, 59), datetime(2024, 1, 20), datetime(2024, 2, 1), datetime(2024, 3, 2, 23, 59, 59, 999999)]
+    rows = [(i, d, "click", i, float(i + 1), '{"k": 1}') for i, d in enumerate(days)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, event_type string, user_id long, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    got = QUERIES["rollup_refreshed"](spark, str(tmp_path)).collect()
+    assert sorted((r.bucket.date(), r.v, r.n) for r in got) == [(d.date(), float(i + 1), 1) for i, d in enumerate(days)]

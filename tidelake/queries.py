@@ -422,9 +422,12 @@ def rollup_refreshed(spark, sf_dir):
     base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
     m = measurement(spark, sf_dir)
     rollup = Rollup(spark, f"{base.rstrip('/')}/tidelake-rollup-{uuid.uuid4().hex}", "15 minutes", ["t_event_type"], {"v": "f_value"})
-    rollup.refresh(m.withColumn("f_value", F.lit(0.0)), "2024-01-01", "2024-02-01")
-    rollup.refresh(m, "2024-01-01", "2024-01-10")  # and again what has changed
-    rollup.refresh(m, "2024-01-10", "2024-02-01")
+    day = F.date_trunc("day", "time")
+    text = lambda c: c.cast("string")
+    start, middle, end = m.agg(text(F.min(day)), text(F.timestamp_micros(((F.unix_micros(F.min(day)) + F.unix_micros(F.max(day))) / 2).cast("bigint"))), text(F.max(day) + F.expr("INTERVAL '1' DAY"))).first()
+    rollup.refresh(m.withColumn("f_value", F.lit(0.0)), start, end)
+    rollup.refresh(m, start, middle)  # and again what has changed
+    rollup.refresh(m, middle, end)
     return rollup.read().select(plain("bucket"), "t_event_type", F.round("v", 4).alias("v"), "n")
 
 

@@ -1,17 +1,16 @@
-"""Substring deduplication by relative Lempel-Ziv parsing.
-
-Every document is factored greedily against an index of all documents. The index is cut into reference
-blocks by anchors: of the 28 eight-word grams in a window of 35 words, the one with the smallest hash
-(the leftmost of equals). Equal windows have equal anchors, so all occurrences of a window meet in one
-block, and a document is held against exactly the blocks that can match it. A phrase is a run of
-windows with one anchor; it has 28 windows at most and no window twice.
-
-1. Whole phrases: a phrase that occurs again is a sufficiently long factor at once. Counting them needs
-   a few bytes for about 14 words.
-2. Factor boundaries: where an anchor is shared by different phrases, a factor ends inside them. Their
-   windows are looked up one by one by fingerprint, each distinct phrase once, which says how far each
-   factor goes on either side.
-3. The factors of a document are joined, and the words they cover become duplicate spans.
+"""Substring deduplication by window fingerprints within anchor blocks, in place of relative Lempel-Ziv parsing.
+
+No factor is extended to its longest match: what is removed depends only on which windows occur again.
+The windows of all documents are dealt to blocks by anchors: of the 28 eight-word grams in a window of 35
+words, the one with the smallest hash (the leftmost of equals). Equal windows have equal anchors, so all
+occurrences of a window meet in one block. A phrase is a run of windows with one anchor; it has 28
+windows at most and no window twice.
+
+1. Whole phrases: a phrase that occurs again is a repeat at once. Counting them needs a few bytes for
+   about 14 words.
+2. Shared anchors: where different phrases share an anchor, a repeat may end inside them. Their windows
+   are looked up one by one by fingerprint, each distinct phrase once.
+3. The repeats of a document are joined, and the words they cover become duplicate spans.
 
 Keys are counted with map-side combining; the other joins are plain equi-joins that AQE splits where
 a passage is common. Fingerprints have 64 bits.

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
+from collections import Counter, defaultdict
 from datetime import datetime, timedelta
 
 import pytest
 
 from tidelake.engine import Engine
-from tidelake.llm.queries import op2_exact_dedup
+from tidelake.llm.queries import TOKEN_LIMIT, op2_exact_dedup, op7_best_fit_packing, op9_token_counts, tokenizer_path
 from tidelake.queries import QUERIES
 from tidelake.streaming.ingest import ingest
 
@@ -68,3 +70,36 @@ def test_rollup_takes_every_day(spark, tmp_path):
     spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, event_type string, user_id long, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
     got = QUERIES["rollup_refreshed"](spark, str(tmp_path)).collect()
     assert sorted((r.bucket.date(), r.v, r.n) for r in got) == [(d.date(), float(i + 1), 1) for i, d in enumerate(days)]
+
+
+@pytest.fixture(scope="module")
+def texts(spark, tmp_path_factory):
+    """A few documents with nulls, copies and one longer than any bin."""
+    base = tmp_path_factory.mktemp("texts")
+    rows = [(0, "a clean text"), (1, None), (2, ""), (3, " \t\n"), (4, "one two  three\nfour"), (5, "a clean text"), (6, "long words " * 4500), (7, "é 日本 x")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{base}/documents.parquet")
+    return str(base), dict(rows)
+
+
+def test_op7_packs_every_word(spark, texts):
+    base, docs = texts
+    got = op7_best_fit_packing(spark, base).collect()
+    total, bins = Counter(), defaultdict(list)
+    for r in got:
+        total[r.doc_id] += r.n_tokens
+        if r.bin_id is not None:
+            bins[r.bin_id].append(r)
+    assert dict(total) == {i: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t in docs.items()}
+    assert all(sum(r.n_tokens for r in own) == own[0].bin_load <= own[0].capacity for own in bins.values())
+
+
+def test_op9_counts_every_text(spark, texts):
+    import sentencepiece
+
+    base, docs = texts
+    piece = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path())
+    want = []
+    for i, t in docs.items():
+        n = len(piece.encode(t or ""))
+        want.append((i, len((t or "").encode()), n, n > TOKEN_LIMIT))
+    assert sorted(map(tuple, op9_token_counts(spark, base).collect())) == sorted(want)

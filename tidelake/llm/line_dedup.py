@@ -7,9 +7,11 @@ and have similar sizes: the prefix, positional and length filters. What passes i
 whole sets. A line is removed if an earlier one is that similar.
 
 Equal sets are one set from the start, so a line that very many documents share is one row in the
-join; sets of fewer than four words match equal ones alone and don't enter it. For each prefix word
-the earliest set is tried first: that settles the later lines of a group of copies in linear work. The
-sets that it leaves open are then held against all earlier ones that the filters let pass.
+joins; sets of fewer than four words match equal ones alone and don't enter them. One semi-join of the
+prefix table with itself keeps the rows that any other set may match, and everything after it works on
+these few. There the earliest set of each prefix word is tried first: that settles the later lines of
+a group of copies in linear work. The sets that it leaves open are held against all earlier ones that
+the filters let pass.
 """
 
 from __future__ import annotations
@@ -17,24 +19,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, drop_table, scratch, write_table
+from .common import checked_broadcast, scratch, write_table
 
-COUNTERS = 1 << 18
+COUNTERS = 1 << 16
+#: sets of more words have a second half of parity bits
+LONG_SET = 80
 _HASH_BITS = 56
 
 
-def split_words(text: Column) -> Column:
-    """The words of a text, in order. White space becomes single spaces first, as splitting at one character needs no regular expression."""
-    for c in "\t\n\x0b\x0c\r":
-        text = F.replace(text, F.lit(c), F.lit(" "))
-    return F.array_remove(F.split(text, " "), "")
+def spaced(text: Column) -> Column:
+    """The text with spaces for its other white space but line ends; texts without any are left alone."""
+    odd = ("\t", "\x0b", "\x0c", "\r")
+    found = F.contains(text, F.lit(odd[0]))
+    for c in odd[1:]:
+        found |= F.contains(text, F.lit(c))
+    return F.when(found, F.translate(text, "".join(odd), " " * len(odd))).otherwise(text)
+
+
+def split_words(line: Column) -> Column:
+    """The words of a line of a ``spaced`` text, in order; splitting at one character needs no regular expression."""
+    return F.array_remove(F.split(line, " "), "")
 
 
 def rarity_classes(texts: DataFrame, text_col: str) -> str:
     """The class (two to a doubling) of each hashed counter as one number after another, comma-separated; COUNTERS of them, whatever the corpus."""
     n_block = 1 << 10
+    words = F.split(F.replace(spaced(F.col(text_col)), F.lit("\n"), F.lit(" ")), " ")
     counted = (
-        texts.select(F.explode(split_words(F.col(text_col))).alias("w"))
+        texts.select(F.explode(words).alias("w"))
+        .where("w <> ''")
         .groupBy(F.xxhash64("w").bitwiseAND(F.lit(COUNTERS - 1)).alias("b"))
         .agg(F.count("*").alias("n"))
         .unionByName(texts.sparkSession.range(COUNTERS).select(F.col("id").alias("b"), F.lit(0).cast("long").alias("n")))
@@ -46,28 +59,20 @@ def rarity_classes(texts: DataFrame, text_col: str) -> str:
 
 
 def word_keys(line: Column, classes: str) -> Column:
-    """The line's distinct words as numbers in the order of rarity."""
-    table = F.split(F.lit(classes), ",").cast("array<tinyint>")
-    low = (1 << _HASH_BITS) - 1
-
-    def key(w: Column) -> Column:
-        h = F.xxhash64(w)
-        return F.shiftleft(F.get(table, h.bitwiseAND(F.lit(COUNTERS - 1)).cast("int")).cast("long"), _HASH_BITS).bitwiseOR(h.bitwiseAND(F.lit(low)))
-
-    return F.sort_array(F.array_distinct(F.transform(split_words(line), key)))
-
-
-def parities(keys: Column) -> list[Column]:
-    """128 bits in two numbers; every key flips one of them."""
+    """The distinct words of a line of a ``spaced`` text as numbers in the order of rarity."""
+    table = F.split(F.lit(classes), ",").cast("array<bigint>")
+    hashes = F.array_distinct(F.array_remove(F.transform(F.split(line, " "), lambda w: F.xxhash64(w)), F.xxhash64(F.lit(""))))
+    rarity = lambda h: F.shiftleft(table.getItem(h.bitwiseAND(F.lit(COUNTERS - 1))), _HASH_BITS)
+    return F.sort_array(F.transform(hashes, lambda h: rarity(h).bitwiseOR(F.shiftrightunsigned(h, 64 - _HASH_BITS))))
 
-    def half(which: int) -> Column:
-        def flip(bits: Column, k: Column) -> Column:
-            own = F.call_function("shiftright", k, F.lit(6)).bitwiseAND(F.lit(1).cast("long"))
-            return bits.bitwiseXOR(F.call_function("shiftleft", own if which else 1 - own, k.bitwiseAND(F.lit(63)).cast("int")))
 
-        return F.aggregate(keys, F.lit(0).cast("long"), flip)
-
-    return [half(0).alias("even"), half(1).alias("odd")]
+def parities(keys: Column, n: Column) -> list[Column]:
+    """Every key flips one of 64 bits of ``flips``; of long sets, half of the keys flip one of ``odd`` too."""
+    place = lambda k: k.bitwiseAND(F.lit(63)).cast("int")
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    flips = F.aggregate(keys, zero, lambda bits, k: bits.bitwiseXOR(F.call_function("shiftleft", one, place(k))))
+    odd = F.aggregate(keys, zero, lambda bits, k: bits.bitwiseXOR(F.call_function("shiftleft", F.shiftright(k, 6).bitwiseAND(one), place(k))))
+    return [flips.alias("flips"), F.when(n > LONG_SET, odd).otherwise(zero).alias("odd")]
 
 
 def _ceil(num: Column, of: int) -> Column:
@@ -79,87 +84,90 @@ def n_probe(n: Column) -> Column:
     return n - _ceil(4 * n, 5) + 1
 
 
-def n_index(n: Column) -> Column:
-    """The same of the smaller of two sets."""
-    return n - _ceil(8 * n, 9) + 1
-
-
-def _may_match(p: str, q: str) -> Column:
-    """The filters, for two rows of the prefix table with one word: lengths, prefixes, positions and parities.
+def _may_match(x: str, y: str) -> Column:
+    """The filters, for two rows of the prefix table with one word: parities, lengths, prefixes and positions.
 
     At a Jaccard of 0.8, a ninth of both sizes bounds the words that only one set has, and so the bits
-    in which the parities of their words differ. Most chance pairs end there, unread.
+    in which the parities of their words differ. Most chance pairs end there, unread. Of two sets the
+    smaller one needs to be found only by the first words that leave eight ninths of it.
     """
-    n, m, i, j = F.col(f"{p}.n"), F.col(f"{q}.n"), F.col(f"{p}.p"), F.col(f"{q}.p")
+    n, m, i, j = F.col(f"{x}.n"), F.col(f"{y}.n"), F.col(f"{x}.p"), F.col(f"{y}.p")
+    a = F.col(f"{x}.flips").bitwiseXOR(F.col(f"{y}.flips"))
+    b = F.col(f"{x}.odd").bitwiseXOR(F.col(f"{y}.odd"))
+    few = 9 * F.when(F.least(n, m) > LONG_SET, F.bit_count(a.bitwiseXOR(b)) + F.bit_count(b)).otherwise(F.bit_count(a)) <= n + m
     lengths = (4 * m <= 5 * n) & (4 * n <= 5 * m)
-    prefixes = ((n > m) | (i < n_index(n))) & ((m > n) | (j < n_index(m)))
-    apart = [F.bit_count(F.col(f"{p}.{c}").bitwiseXOR(F.col(f"{q}.{c}"))) for c in ("even", "odd")]
-    few = 9 * (apart[0] + apart[1]) <= n + m
-    return lengths & few & prefixes & (F.least(n - i, m - j) >= _ceil(4 * (n + m), 9))
-
-
-def _verified(rows: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of sets whose Jaccard is 0.8 or more; their words come from their first lines."""
-    pairs = write_table(pairs, "line-pairs")
-    wanted = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct().join(sets.select("set", "at"), "set")
-    wanted = write_table(wanted.groupBy(F.col("at._key").alias("_key")).agg(F.collect_list(F.struct(F.col("at.line_no").alias("line_no"), "set")).alias("some")), "line-wanted")
-    # a line is cut out of its text before the text is multiplied
-    lines = F.transform("some", lambda x: F.struct(x["set"].alias("set"), F.get(F.split("_text", "\n"), x["line_no"]).alias("line")))
-    read = rows.select("_key", "_text").join(checked_broadcast(wanted), "_key").select(F.inline(lines)).groupBy("set").agg(F.first("line").alias("line"))
-    read = write_table(read, "line-texts")
-    # pairs carry the lines, which are several times smaller than arrays of their words
-    both = pairs.join(read.select(F.col("set").alias("a"), F.col("line").alias("la")), "a").join(read.select(F.col("set").alias("b"), F.col("line").alias("lb")), "b")
-    wa, wb = (F.array_distinct(split_words(F.col(c))) for c in ("la", "lb"))
-    both = both.select("a", "b", wa.alias("wa"), wb.alias("wb"))
-    return both.where(9 * F.size(F.array_intersect("wa", "wb")) >= 4 * (F.size("wa") + F.size("wb"))).select("a", "b")
-
+    prefixes = ((n > m) | (9 * i <= n)) & ((m > n) | (9 * j <= m))
+    return few & lengths & prefixes & (9 * F.least(n - i, m - j) >= 4 * (n + m))
 
-def line_sets(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Lines (_key, _id, line_no, words) that hold words; their sets (set, words, at, n, even, odd, k), with
-    first place and number of lines; and the sets' rarest words (set, n, prefix).
 
-    ``words`` is the hash of a set, ``set`` its number in order of first places. rows: _key, _id, _text.
-    """
+def lines_of(rows: DataFrame) -> DataFrame:
+    """The lines that hold words: ``_key, _id, line_no, set, n, flips, odd, prefix``. ``set`` is the hash of their words. rows: _key, _id, _text."""
     classes = rarity_classes(rows, "_text")
-    lines = rows.select("_key", "_id", F.posexplode(F.split("_text", "\n")).alias("line_no", "_line"))
-    keyed = lines.select("_key", "_id", "line_no", word_keys(F.col("_line"), classes).alias("w")).where("size(w) > 0")
+    lines = rows.select("_key", "_id", F.posexplode(F.split(spaced(F.col("_text")), "\n")).alias("line_no", "_line"))
+    # generated, so that the words are cut out once and not in each place that names them
+    keyed = lines.select("_key", "_id", "line_no", F.explode(F.array(word_keys(F.col("_line"), classes))).alias("w")).where("size(w) > 0")
     n = F.size("w")
-    read = write_table(keyed.select("_key", "_id", "line_no", F.xxhash64("w").alias("words"), n.alias("n"), *parities(F.col("w")), F.when(n >= 4, F.slice("w", F.lit(1), n_probe(n))).alias("prefix")), "lines")
-    place = F.struct("_id", "_key", "line_no")
-    sets = read.groupBy("words").agg(F.min(F.struct(place.alias("at"), "n", "even", "odd", "prefix")).alias("m"), F.count("*").alias("k")).select("words", "m.*", "k")
-    # numbers that rise with the first places; written, so that they stay
-    sets = write_table(sets.orderBy("at").withColumn("set", F.monotonically_increasing_id()), "line-sets")
-    lines = write_table(read.select("_key", "_id", "line_no", "words"), "line-places")
-    slim = write_table(sets.drop("prefix"), "line-known")
-    drop_table(read)
-    return lines, slim, sets
-
-
-def matched_sets(rows: DataFrame, known: DataFrame, sets: DataFrame) -> DataFrame:
-    """``set`` of the sets whose first line has an earlier line of another set with a Jaccard of 0.8 or more."""
-    spread = sets.where("n >= 4").select("set", "n", "even", "odd", F.posexplode("prefix").alias("p", "w"))
-    leaders = spread.groupBy("w").agg(F.min(F.struct("set", "n", "p", "even", "odd")).alias("x"), F.count("*").alias("k")).where("k > 1").select("w", "x")
-    near = spread.select("w", F.struct("set", "n", "p", "even", "odd").alias("y")).join(leaders, "w")
-    near = near.where((F.col("x.set") < F.col("y.set")) & _may_match("x", "y")).select(F.col("x.set").alias("a"), F.col("y.set").alias("b")).distinct()
-    settled = write_table(_verified(rows, known, near).select(F.col("b").alias("set")).distinct(), "line-settled")
-
-    # both sides of the join are one table and one shuffle: what tells them apart is in the condition
-    marked = sets.where("n >= 4").join(checked_broadcast(settled).withColumn("done", F.lit(1)), "set", "left")
-    table = write_table(marked.select("set", "n", "even", "odd", F.coalesce("done", F.lit(0)).alias("done"), F.lit(1).alias("one"), F.posexplode("prefix").alias("p", "w")), "line-prefixes")
-    drop_table(sets)
-    x, y = table.alias("x"), table.alias("y")
-    rest = x.join(y, (F.col("x.w") == F.col("y.w")) & (F.col("x.set") < F.col("y.set")) & (F.col("y.done") < F.col("x.one")) & (F.col("x.done") <= F.col("y.one")) & _may_match("x", "y"))
-    rest = rest.select(F.col("x.set").alias("a"), F.col("y.set").alias("b")).distinct()
-    found = _verified(rows, known, rest).select(F.col("b").alias("set"))
-    return write_table(settled.unionByName(found).distinct(), "line-matched")
+    return write_table(keyed.select("_key", "_id", "line_no", F.xxhash64("w").alias("set"), n.alias("n"), *parities(F.col("w"), n), F.when(n >= 4, F.slice("w", F.lit(1), n_probe(n))).alias("prefix")), "lines")
+
+
+def candidate_rows(lines: DataFrame) -> DataFrame:
+    """Rows (w, set, n, p, flips, odd) of the sets' rarest words that a row of another set may match."""
+    sets = lines.where("prefix is not null").select("set", "n", "flips", "odd", "prefix").distinct()
+    spread = sets.select("set", "n", "flips", "odd", F.posexplode("prefix").alias("p", "w"))
+    x, y = spread.alias("x"), spread.alias("y")
+    return x.join(y, (F.col("x.w") == F.col("y.w")) & (F.col("x.set") != F.col("y.set")) & _may_match("x", "y"), "left_semi")
+
+
+def _texts_of(rows: DataFrame, places: DataFrame) -> DataFrame:
+    """``set, line`` of the sets (set, at); a text is cut into its lines once, whatever the number of lines wanted."""
+    wanted = write_table(places.groupBy(F.col("at._key").alias("_key")).agg(F.collect_list(F.struct(F.col("at.line_no").alias("line_no"), "set")).alias("some")), "line-wanted")
+    cut = rows.select("_key", "_text").join(checked_broadcast(wanted), "_key").select("some", F.explode(F.array(F.split(spaced(F.col("_text")), "\n"))).alias("parts"))
+    lines = F.transform("some", lambda s: F.struct(s["set"].alias("set"), F.col("parts").getItem(s["line_no"]).alias("line")))
+    return write_table(cut.select(F.inline(lines)).groupBy("set").agg(F.min("line").alias("line")), "line-texts")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The ``b`` of the pairs (a, b) of sets whose Jaccard is 0.8 or more."""
+    both = pairs.join(texts.select(F.col("set").alias("a"), F.col("line").alias("la")), "a").join(texts.select(F.col("set").alias("b"), F.col("line").alias("lb")), "b")
+    wa, wb = (F.array_distinct(split_words(F.col(c))) for c in ("la", "lb"))
+    both = both.select("b", F.explode(F.array(F.struct(wa.alias("a"), wb.alias("b")))).alias("w"))
+    return both.where(9 * F.size(F.array_intersect("w.a", "w.b")) >= 4 * (F.size("w.a") + F.size("w.b"))).select(F.col("b").alias("set")).distinct()
+
+
+def matched_sets(rows: DataFrame, candidates: DataFrame, places: DataFrame) -> DataFrame:
+    """``set`` of the sets (set, at) whose first line has an earlier line of another set with a Jaccard of 0.8 or more."""
+    own = write_table(candidates.select("set").distinct().join(places.select("set", "at"), "set"), "line-own")
+    texts = _texts_of(rows, own)
+    placed = write_table(candidates.join(checked_broadcast(own), "set").select("w", "at", "set", "n", "p", "flips", "odd"), "line-placed")
+    row = F.struct(*[c for c in placed.columns if c != "w"])
+    leaders = placed.groupBy("w").agg(F.min(row).alias("x"))
+    near = placed.select("w", row.alias("y")).join(leaders, "w").where((F.col("x.at") < F.col("y.at")) & _may_match("x", "y"))
+    settled = write_table(_verified(near.select(F.col("x.set").alias("a"), F.col("y.set").alias("b")).distinct(), texts), "line-settled")
+
+    x, y = placed.alias("x"), placed.join(checked_broadcast(settled), "set", "left_anti").alias("y")
+    rest = x.join(y, (F.col("x.w") == F.col("y.w")) & (F.col("x.at") < F.col("y.at")) & _may_match("x", "y"))
+    found = _verified(rest.select(F.col("x.set").alias("a"), F.col("y.set").alias("b")).distinct(), texts)
+    return write_table(settled.unionByName(found), "line-matched")
 
 
 def _gone_lines(rows: DataFrame) -> DataFrame:
-    """``_key, _gone``: the numbers of the lines that go, of the texts that lose some."""
-    lines, known, sets = line_sets(rows)
-    matched = matched_sets(rows, known, sets).withColumn("all", F.lit(True))
-    limits = known.join(matched, "set", "left").where("k > 1 or all").select("words", "at", F.coalesce("all", F.lit(False)).alias("all"))
-    return lines.join(limits, "words").where(F.col("all") | (F.struct("_id", "_key", "line_no") > F.col("at"))).groupBy("_key").agg(F.collect_set("line_no").alias("_gone"))
+    """``_key, _gone``: the numbers, rising, of the lines that go, of the texts that lose some."""
+    lines = lines_of(rows)
+    candidates = write_table(candidate_rows(lines), "line-candidates")
+    places = lines.groupBy("set").agg(F.min(F.struct("_id", "_key", "line_no")).alias("at"), F.count("*").alias("k"))
+    places = write_table(places, "line-sets")
+    matched = matched_sets(rows, candidates, places).withColumn("all", F.lit(True))
+    limits = places.join(matched, "set", "left").where("k > 1 or all").select("set", "at", F.coalesce("all", F.lit(False)).alias("all"))
+    gone = lines.select("_key", "_id", "line_no", "set").join(limits, "set").where(F.col("all") | (F.struct("_id", "_key", "line_no") > F.col("at")))
+    return gone.groupBy("_key").agg(F.sort_array(F.collect_set("line_no")).alias("_gone"))
+
+
+def _without(parts: Column, gone: Column) -> Column:
+    """The elements but for those at the rising places ``gone``: the stretches between these, one after another."""
+    last = F.size(gone)
+    begin = lambda i: F.when(i == 0, 0).otherwise(gone.getItem(F.greatest(i - 1, F.lit(0))) + 1)
+    end = lambda i: F.when(i == last, F.size(parts)).otherwise(gone.getItem(F.least(i, last - 1)))
+    return F.flatten(F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(parts, begin(i) + 1, end(i) - begin(i))))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -170,21 +178,19 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     or not, has a Jaccard of 0.8 or more with it. Lines without words stay. A null text has no lines
     and stays null, an empty one has one; a document that loses all lines keeps an empty text.
     Identical rows lose the same lines, of which the first of them counts as earlier only within
-    itself. Columns of the input with one of the new names are replaced.
+    itself. Columns of the input named ``n_lines`` or ``n_removed`` are replaced; all others, whatever
+    their names, are carried along.
     """
     key = F.xxhash64(id_col, text_col)
     rows = docs.where(F.col(text_col).isNotNull()).select(key.alias("_key"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     with scratch() as keep:
         gone = keep(write_table(_gone_lines(rows), "line-gone"))
-    carried = [c for c in docs.columns if c not in ("n_lines", "n_removed", "_key", "_gone")]
-    parts = F.split(text_col, "\n")
-    kept = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains("_gone", i)), "\n")
-    return (
-        docs.select(*carried, key.alias("_key"))
-        .join(checked_broadcast(gone), "_key", "left")
-        .select(
-            *[F.when(F.col("_gone").isNull(), F.col(c)).otherwise(kept).alias(c) if c == text_col else F.col(c) for c in carried],
-            F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("n_lines"),
-            F.coalesce(F.when(F.col("_gone").isNotNull(), F.size("_gone")), F.lit(0)).cast("long").alias("n_removed"),
-        )
+    carried = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    whole = docs.select(F.struct(*carried).alias("_row"), key.alias("_key")).join(checked_broadcast(gone), "_key", "left")
+    cut = whole.select("_row", "_gone", F.explode(F.array(F.split(F.col("_row")[text_col], "\n"))).alias("_parts"))
+    kept = F.array_join(_without(F.col("_parts"), F.col("_gone")), "\n")
+    return cut.select(
+        *[F.when(F.col("_gone").isNull(), F.col("_row")[c]).otherwise(kept).alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in carried],
+        F.coalesce(F.when(F.col("_parts").isNotNull(), F.size("_parts")), F.lit(0)).cast("long").alias("n_lines"),
+        F.coalesce(F.when(F.col("_gone").isNotNull(), F.size("_gone")), F.lit(0)).cast("long").alias("n_removed"),
     )

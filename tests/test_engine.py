@@ -201,3 +201,48 @@ def test_bulk_load_of_csv(engine, spark, tmp_path):
     assert engine.load(df.limit(0), "sensors", ["sensor"], ["temperature"]) == 0
     with pytest.raises(EngineError):
         engine.load(df.withColumn("time", F.lit(None).cast("timestamp")), "sensors", ["sensor"], ["temperature"])
+
+
+def test_a_later_write_wins_over_a_load_of_many_partitions(engine, spark):
+    df = spark.range(400, numPartitions=200).selectExpr("timestamp_seconds(1700000000 + id) AS time", "'h' || id AS host", "1.0D AS v")
+    assert engine.load(df, "m", ["host"], ["v"]) == 400
+    for i in (0, 399):  # rows of the first and of the last partition
+        engine.write(f"m,host=h{i} v=2 {(1_700_000_000 + i) * 1_000_000_000}")
+    for tier in ("hot", "cold", "all"):
+        assert sorted(r.t_host for r in engine.relation("m", tier).where("f_v = 2").collect()) == ["h0", "h399"]
+        assert engine.relation("m", tier).count() == 400
+
+
+def test_writes_and_batches_of_a_stream_are_ordered_by_time(engine, spark, tmp_path):
+    def batch(v, parts):
+        spark.range(parts, numPartitions=parts).selectExpr(f"'m,h=a v={v},i=' || id || ' {T}' AS value").write.mode("append").text(f"{tmp_path}/in")
+        ingest(engine, spark.readStream.text(f"{tmp_path}/in"), f"{tmp_path}/check", available_now=True).awaitTermination()
+
+    batch(1, 200)
+    engine.write(f"m,h=a v=2 {T}")
+    assert rows(engine.relation("m"), "f_v") == rows(engine.relation("m", "all"), "f_v") == [(2.0,)]
+    batch(3, 2)
+    assert rows(engine.relation("m"), "f_v") == rows(engine.relation("m", "cold"), "f_v") == [(3.0,)]
+
+
+def test_two_instances_share_a_root(engine):
+    other = Engine(engine.spark, engine.store.root)
+    engine.write(f"m,h=a x=1i {T}")
+    assert other.columns("m") == {"t_h": "string", "f_x": "bigint"}
+    engine.write(f"m,h=a,zone=z extra=true,x=1.5 {T + 1000}")
+    assert rows(other.relation("m", "all"), "t_zone", "f_extra", "f_x") == [("z", True, 1.5), (None, None, 1.0)]
+    other.write(f"m,h=b x=7i {T}\nnew v=1 {T}")
+    assert rows(engine.relation("m"), "t_h", "f_x") == [("a", 1.0), ("a", 1.5), ("b", 7.0)]
+    assert json.loads(engine.query_json("SELECT count(*) AS n FROM lp.new")) == [{"n": 1}]
+    other.write(f"m,h=a x=9i {T}")
+    assert [r.f_x for r in engine.relation("m", "all").where(f"unix_micros(time) = {T // 1000} AND t_h = 'a'").collect()] == [9.0]
+
+
+def test_the_log_folds_to_one_file(engine):
+    for i in range(3):
+        engine.write(f"m v={i} {T + i * MINUTE}")
+    engine.compact("m")
+    before = [(o.kind, o.object_key) for o in engine.manifest.objects()]
+    assert engine.manifest.fold() > 2 and engine.manifest.fold() == 0
+    assert [(o.kind, o.object_key) for o in engine.manifest.objects()] == before
+    assert Engine(engine.spark, engine.store.root).relation("m", "all").count() == 3

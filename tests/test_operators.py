@@ -8,18 +8,11 @@ from pyspark.sql import functions as F
 from tidelake.functions import lattice
 from tidelake.functions.time import register_time_bucket, time_bucket, timestamp_of_ns
 from tidelake.operators.dedup import merge_columns, newest_by_seq
-from tidelake.operators.intervals import covered_chunks, covers, merge_intervals, merged
+from tidelake.operators.intervals import covered_chunks, covers, islands, merge_intervals
 from tidelake.operators.joins import asof_join
 from tidelake.plans import sqlapi
 from tidelake.plans.federation import empty, lattice_types, union_by_name
-from tidelake.plans.tiering import plan_compaction
-from tidelake.sources.manifest import ObjectMeta, cold_key, overlapping, staging_key
-
-DAY = lambda d, h=0: datetime(2026, 6, d, h, tzinfo=UTC)
-
-
-def meta(a, b, key="k"):
-    return ObjectMeta("m", "staging", key, a, b, 1, 1, 1)
+from tidelake.sources.manifest import prune, staging_key
 
 
 def test_two_tiers(spark):
@@ -42,23 +35,23 @@ def test_column_merge(spark):
 
 
 def test_intervals(spark):
-    assert merged([(DAY(6), DAY(7)), (DAY(1), DAY(3)), (DAY(2), DAY(4))]) == [(DAY(1), DAY(4)), (DAY(6), DAY(7))]
-    assert covers([(DAY(1), DAY(2)), (DAY(2), DAY(4))], DAY(1), DAY(4)) and covers([(DAY(1), DAY(2)), (DAY(2), DAY(4))], DAY(1), DAY(3))
-    assert not covers([(DAY(1), DAY(2)), (DAY(3), DAY(4))], DAY(1), DAY(4)) and not covers([], DAY(1), DAY(2))
-    df = spark.createDataFrame([("x", 6, 7), ("x", 1, 3), ("x", 2, 4), ("y", 1, 2)], "m string, range_start int, range_end int")
-    assert sorted(map(tuple, merge_intervals(df, ["m"]).collect())) == [("x", 1, 4, 2), ("x", 6, 7, 1), ("y", 1, 2, 1)]
-    chunks = spark.createDataFrame([("x", 1, 4), ("x", 4, 6), ("z", 1, 2)], "m string, chunk_start int, chunk_end int")
-    assert {(r.m, r.chunk_start): r.covered for r in covered_chunks(chunks, df, ["m"]).collect()} == {("x", 1): True, ("x", 4): False, ("z", 1): False}
-
-
-def test_manifest_helpers():
-    three = [meta(DAY(1), DAY(2)), meta(DAY(5), DAY(6)), meta(DAY(9), DAY(10))]
-    assert overlapping(three, DAY(4), DAY(7)) == [three[1]]
-    assert overlapping(three[:2], None, None) == three[:2] and overlapping(three[:2], DAY(4), None) == [three[1]]
-    assert overlapping(three, DAY(2), DAY(5)) == three[:2]  # both ends count
-    assert staging_key("cpu", 5, 9) == "cpu/staging/00000000000000000005-00000000000000000009"
-    assert cold_key("cpu", "2026-06-01", 42) == "cpu/cold/dt=2026-06-01/00000000000000000042"
-    assert {d: len(o) for d, o in plan_compaction([meta(DAY(1, 1), DAY(1, 2)), meta(DAY(1, 5), DAY(1, 6)), meta(DAY(2, 3), DAY(2, 4))]).items()} == {"2026-06-01": 2, "2026-06-02": 1}
+    spans = [(20, 26), (3, 5), (9, 14), (5, 9), (12, 13), (22, 31), (40, 40)]
+    found = islands(spans)
+    assert found == ([3, 20, 40], [14, 31, 40])
+    assert covers(found, 3, 14) and covers(found, 25, 31) and covers(found, 40, 40) and covers(found, 6, 6)
+    assert not covers(found, 2, 4) and not covers(found, 13, 20) and not covers(found, 30, 40) and not covers(islands([]), 1, 1)
+    df = spark.createDataFrame([("x", a, b) for a, b in spans] + [("y", 8, 11)], "m string, range_start int, range_end int")
+    assert sorted(map(tuple, merge_intervals(df, ["m"]).collect())) == [("x", 3, 14, 4), ("x", 20, 31, 2), ("x", 40, 40, 1), ("y", 8, 11, 1)]
+    chunks = spark.createDataFrame([("x", 4, 13), ("x", 14, 21), ("z", 8, 9)], "m string, chunk_start int, chunk_end int")
+    assert {(r.m, r.chunk_start): r.covered for r in covered_chunks(chunks, df, ["m"]).collect()} == {("x", 4): True, ("x", 14): False, ("z", 8): False}
+
+
+def test_pruning_counts_both_ends(spark):
+    df = spark.createDataFrame([(i, datetime(2025, 3, a), datetime(2025, 3, b)) for i, (a, b) in enumerate([(2, 4), (4, 7), (11, 12)])], "i int, range_start timestamp, range_end timestamp")
+    ids = lambda *w: sorted(r.i for r in prune(df, *w).collect())
+    assert ids("2025-03-04", "2025-03-10") == [0, 1] and ids("2025-03-07", None) == [1, 2]
+    assert ids(None, "2025-03-02") == [0] and ids("2025-03-08", "2025-03-10") == [] and ids(None, None) == [0, 1, 2]
+    assert staging_key("disk", 37, 1204) == "disk/staging/00000000000000000037-00000000000000001204"
 
 
 def test_lattice_union(spark):

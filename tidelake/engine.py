@@ -12,14 +12,13 @@ from datetime import UTC, datetime, timedelta
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .functions import lattice
 from .functions.hashing import with_hash_of_columns
 from .functions.naming import distinct_columns, field_column, identifier, tag_column
 from .functions.time import PRECISION_NS, as_utc, parse_width, register_time_bucket
 from .operators.dedup import newest_by_seq
-from .operators.intervals import covers
+from .operators.intervals import covers, islands
 from .operators.points import names_and_types, wide_rows
 from .plans import federation, sqlapi, tiering
 from .sources import lineproto
@@ -66,7 +65,8 @@ class Engine:
         self.spark, self.config = spark, config or Config()
         self.store = Store(spark, root)
         self.manifest = Manifest(self.store)
-        self._schemas: dict[str, dict[str, str]] | None = None
+        self._schemas: dict[str, dict[str, str]] = {}
+        self._schemas_at: object = None
         self._locks: defaultdict[str, threading.RLock] = defaultdict(threading.RLock)
         self.counters = {"written": 0, "failed": 0}
         self._chunk = timedelta(microseconds=parse_width(self.config.chunk)[1])
@@ -74,30 +74,41 @@ class Engine:
     # schemas
 
     def _registry(self) -> dict[str, dict[str, str]]:
-        """Table -> column -> type: after a restart, the widest types of the live objects."""
-        if self._schemas is None:
-            found: dict[str, dict[str, str]] = {}
+        """Table -> column -> type: what this instance has seen, and the widest types of the live objects, whoever wrote them."""
+        mark = self.manifest.mark()
+        if mark != self._schemas_at:
             for r in self.manifest.live().select("measurement", "columns").distinct().collect():
-                own = found.setdefault(r.measurement, {})
-                for c, t in json.loads(r.columns).items():
-                    if c != "_cols":
-                        own[c] = lattice.widest([own[c], t]) if c in own else t
-            self._schemas = found
+                self._learn(r.measurement, json.loads(r.columns))
+            self._schemas_at = mark
         return self._schemas
 
+    def _learn(self, table: str, columns: dict[str, str]) -> dict[str, str]:
+        """Add and widen columns of a table; returns all of them."""
+        own = self._schemas.setdefault(table, {})
+        for c, t in columns.items():
+            if c != "_cols":
+                own[c] = lattice.widest([own[c], t]) if c in own else t
+        return own
+
     def columns(self, measurement: str) -> dict[str, str]:
         """Tag and field columns of a table, in order of name."""
-        own = self._registry().get(identifier(measurement), {})
-        return dict(sorted(own.items(), key=lambda x: (x[0][0] != "t", x[0])))
+        return self._ordered(self._registry().get(identifier(measurement), {}))
+
+    @staticmethod
+    def _ordered(columns: dict[str, str]) -> dict[str, str]:
+        return dict(sorted(columns.items(), key=lambda x: (x[0][0] != "t", x[0])))
 
     def tables(self) -> list[str]:
         return sorted(self._registry())
 
     def _evolve(self, table: str, columns: dict[str, str]) -> dict[str, str]:
-        """Add and widen columns; returns the given ones in the table's types."""
-        own = self._registry().setdefault(table, {})
-        for c, t in columns.items():
-            own[c] = lattice.widest([own[c], t]) if c in own else t
+        """Add and widen columns; returns the given ones in the table's types.
+
+        Columns that another instance has added since are learnt by the next read: objects of different types unite.
+        """
+        if self._schemas_at is None:
+            self._registry()
+        own = self._learn(table, columns)
         return {c: own[c] for c in columns}
 
     # writing
@@ -111,16 +122,18 @@ class Engine:
         parsed = lineproto.parse_body(self.spark, body, precision)
         return self.write_points(parsed)
 
-    def write_points(self, parsed: DataFrame, seq_base: int | None = None, errors_key: str | None = None) -> WriteResult:
+    def write_points(self, parsed: DataFrame, version: int | None = None, errors_key: str | None = None) -> WriteResult:
         """Upsert the points of a parsed frame; all its errors are returned, or with ``errors_key`` written.
 
-        ``seq_base`` fixes the sequence numbers, and so the objects' names: a batch that is written again
-        replaces itself. ``errors_key`` is for batches of any size: their errors (ordinal, line, error) become
+        A batch keeps one row of each key, the last by ``ordinal``, and all its rows have the batch's version as
+        their ``seq``: later batches have higher ones, whatever their size and whoever writes them. A given
+        ``version`` fixes the objects' names too: a batch that is written again replaces itself.
+        ``errors_key`` is for batches of any size: their errors (ordinal, line, error) become
         a table of that name in the store, and the result has its path and their number.
         """
         parsed = parsed.persist()
         try:
-            base = self.manifest.next_version() if seq_base is None else seq_base
+            version = self.manifest.next_version() if version is None else version
             points = parsed.where("error IS NULL")
             bad = parsed.where("error IS NOT NULL").select("ordinal", F.col("line_no").alias("line"), "error")
             errors, path = [], None
@@ -137,7 +150,7 @@ class Engine:
             for m in sorted(names):
                 tags = sorted(r.name for r in names[m] if r.kind == "tag")
                 fields = {r.name: lattice.TYPES[r["rank"]] for r in sorted(names[m], key=lambda r: r.name) if r.kind == "field"}
-                total += self._write_measurement(m, points.where(F.col("measurement") == m), tags, fields, base)
+                total += self._write_measurement(m, points.where(F.col("measurement") == m), tags, fields, version)
             self.counters["written"] += total
             return WriteResult(points.count(), errors, failed, path)
         except PySparkException:
@@ -159,16 +172,14 @@ class Engine:
         t, f = self._columns_of(tags, fields)
         with self._locks[table]:
             wide = self._evolve(table, {c: "string" for c in t.values()} | {f[k]: types[k] for k in fields})
-            base = self.manifest.next_version()
-            place = F.monotonically_increasing_id() if order is None else F.row_number().over(Window.partitionBy(F.col(time), *tags).orderBy(order))
             rows = with_hash_of_columns(df, {k: k for k in tags}).select(
                 F.col(time).cast("timestamp").alias("time"),
                 "tag_hash",
-                (F.lit(base) + place).alias("seq"),
+                (F.lit(0) if order is None else F.col(order)).alias("seq"),
                 *[F.col(k).cast("string").alias(c) for k, c in t.items()],
                 *[lattice.widen(F.col(k).cast(types[k]), types[k], wide[c]).alias(c) for k, c in f.items()],
             )
-            return self._upsert(table, rows, wide)
+            return self._upsert(table, rows, wide, self.manifest.next_version())
 
     @staticmethod
     def _columns_of(tags: Sequence[str], fields: Sequence[str]) -> tuple[dict[str, str], dict[str, str]]:
@@ -177,28 +188,28 @@ class Engine:
         except ValueError as e:
             raise EngineError(400, str(e)) from None
 
-    def _write_measurement(self, measurement: str, points: DataFrame, tags: list[str], fields: dict[str, str], base: int) -> int:
+    def _write_measurement(self, measurement: str, points: DataFrame, tags: list[str], fields: dict[str, str], version: int) -> int:
         table = identifier(measurement)
         t, f = self._columns_of(tags, list(fields))
         with self._locks[table]:
             types = self._evolve(table, {c: "string" for c in t.values()} | {f[k]: fields[k] for k in fields})
-            return self._upsert(table, wide_rows(points, tags, {k: types[f[k]] for k in fields}, base), types)
+            return self._upsert(table, wide_rows(points, tags, {k: types[f[k]] for k in fields}), types, version)
 
-    def _upsert(self, table: str, rows: DataFrame, types: dict[str, str]) -> int:
-        """Write the newest row of each key to both tiers. Durable in the cold one first."""
+    def _upsert(self, table: str, rows: DataFrame, types: dict[str, str], version: int) -> int:
+        """Write the newest row of each key to both tiers, by the batch's own order ``seq``, which the version replaces. Durable in the cold tier first."""
         with self._locks[table]:
-            rows = newest_by_seq(rows).persist()
+            rows = newest_by_seq(rows).withColumn("seq", F.lit(version).cast("bigint")).persist()
             try:
-                bounds = rows.agg(F.min("seq").alias("x"), F.max("seq").alias("y"), F.count("*").alias("n"), F.count("time").alias("timed"), F.min("time").alias("a"), F.max("time").alias("b")).first()
+                bounds = rows.agg(F.count("*").alias("n"), F.count("time").alias("timed"), F.min("time").alias("a"), F.max("time").alias("b")).first()
                 if not bounds.n:
                     return 0
                 if bounds.timed < bounds.n:
                     raise EngineError(400, "rows without a time")
                 if self.config.write_through:  # cold first: it has every write that was acknowledged
-                    key = staging_key(table, bounds.x, bounds.y)
+                    key = staging_key(table, version, version)
                     rows.write.mode("overwrite").option("compression", "zstd").parquet(self.store.path(key))
-                    self.manifest.commit([ObjectMeta(table, "staging", key, bounds.a.astimezone(UTC), bounds.b.astimezone(UTC), bounds.n, bounds.x, bounds.y, types)])
-                hot = tiering.write_rows(self.store, rows, f"{table}/hot/{bounds.x:020d}-{bounds.y:020d}", chunk=self._chunk, cols=types, measurement=table, kind="hot", rows_in=bounds.n)
+                    self.manifest.commit([ObjectMeta(table, "staging", key, bounds.a.astimezone(UTC), bounds.b.astimezone(UTC), bounds.n, version, version, types)])
+                hot = tiering.write_rows(self.store, rows, f"{table}/hot/{version:020d}", chunk=self._chunk, cols=types, measurement=table, kind="hot", rows_in=bounds.n)
                 self.manifest.commit(hot)
                 return bounds.n
             finally:
@@ -212,14 +223,15 @@ class Engine:
             raise EngineError(400, f"tier is one of {', '.join(TIERS)}")
         if tier != "hot" and not self.config.query_engine:
             raise EngineError(503, "the cold query engine is off")
-        table, columns = identifier(measurement), self.columns(measurement)
-        hot = None
-        if tier != "cold":
-            hot = federation.hot_relation(self.store, self.manifest.objects(table, ["hot"]), columns)
-        if tier == "hot":
-            return hot
-        cold = self.manifest.objects(table, COLD, as_utc(start), as_utc(end))
-        return federation.federated_relation(hot, self.store, cold, columns)
+        table = identifier(measurement)
+        self._registry()
+        objects = [] if tier == "cold" else self.manifest.objects(table, ["hot"])
+        cold = [] if tier == "hot" else self.manifest.objects(table, COLD, as_utc(start), as_utc(end))
+        for o in [*objects, *cold]:  # an object may be newer than the registry
+            self._learn(table, o.columns)
+        columns = self._ordered(self._schemas.get(table, {}))
+        hot = None if tier == "cold" else federation.hot_relation(self.store, objects, columns)
+        return hot if tier == "hot" else federation.federated_relation(hot, self.store, cold, columns)
 
     def query(self, sql: str, params: Sequence[object] = (), tier: str = "hot", start=None, end=None) -> DataFrame:
         """Spark SQL over the tables it names, each as a view of this request alone. ``$1`` parameters are for the hot tier."""
@@ -338,7 +350,7 @@ class Engine:
         for table in [identifier(measurement)] if measurement else self.tables():
             with self._locks[table]:
                 columns = self.columns(table)
-                cold = [(o.range_start, o.range_end) for o in self.manifest.objects(table, COLD)]
+                cold = islands((o.range_start, o.range_end) for o in self.manifest.objects(table, COLD))
                 old = {c: some for c, some in sorted(self._chunks(table).items()) if c[1] <= limit}
                 bare = [c for c in old if not covers(cold, *c)]
                 exported = self._export(table, columns, [o for c in bare for o in old[c]]) if bare else []

@@ -30,13 +30,13 @@ def field_as(name: str, to: str) -> Column:
     return out
 
 
-def wide_rows(points: DataFrame, tags: list[str], fields: dict[str, str], seq_base: int) -> DataFrame:
-    """``time, tag_hash, seq`` and a column for each tag and field (name -> type) of one measurement's points."""
+def wide_rows(points: DataFrame, tags: list[str], fields: dict[str, str]) -> DataFrame:
+    """``time, tag_hash, seq`` and a column for each tag and field (name -> type) of one measurement's points; ``seq`` is their order."""
     t, f = distinct_columns(tags, tag_column), distinct_columns(list(fields), field_column)
     return points.select(
         "time",
         hash_of(F.col("tags")).alias("tag_hash"),
-        (F.lit(seq_base) + F.col("ordinal")).alias("seq"),
+        F.col("ordinal").alias("seq"),
         *[F.col("tags")[k].alias(c) for k, c in t.items()],
         *[field_as(k, fields[k]).alias(c) for k, c in f.items()],
     )

@@ -38,19 +38,10 @@ class ObjectMeta:
     created_at: datetime | None = None
 
 
-def overlapping(objects: Iterable[ObjectMeta], start: datetime | None, end: datetime | None) -> list[ObjectMeta]:
-    """Objects whose closed range meets the closed window; a missing bound is open."""
-    return [o for o in objects if (start is None or o.range_end >= start) and (end is None or o.range_start <= end)]
-
-
 def staging_key(table: str, min_seq: int, max_seq: int) -> str:
     return f"{table}/staging/{min_seq:020d}-{max_seq:020d}"
 
 
-def cold_key(table: str, day: str, min_seq: int) -> str:
-    return f"{table}/cold/dt={day}/{min_seq:020d}"
-
-
 class Store:
     """A root folder, reached by Hadoop's file system of its scheme."""
 
@@ -60,22 +51,22 @@ class Store:
     def path(self, key: str) -> str:
         return f"{self.root}/{key}"
 
-    def _fs(self, key: str):
+    def file_system(self, key: str):
         jvm = self.spark._jvm
         p = jvm.org.apache.hadoop.fs.Path(self.path(key))
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
     def exists(self, key: str) -> bool:
-        fs, p = self._fs(key)
+        fs, p = self.file_system(key)
         return fs.exists(p)
 
     def delete(self, key: str) -> None:
         """A missing object is no error."""
-        fs, p = self._fs(key)
+        fs, p = self.file_system(key)
         fs.delete(p, True)
 
     def bytes_of(self, key: str) -> int:
-        fs, p = self._fs(key)
+        fs, p = self.file_system(key)
         return fs.getContentSummary(p).getLength() if fs.exists(p) else 0
 
     def configure_s3(self, endpoint: str, access_key: str, secret_key: str, path_style: bool = True, ssl: bool = True) -> None:
@@ -109,6 +100,29 @@ class Manifest:
             order = [f.split()[0] for f in SCHEMA.split(", ")]
             self.spark.createDataFrame([tuple(r[c] for c in order) for r in rows], SCHEMA).coalesce(1).write.mode("append").parquet(self.store.path(self.LOG))
 
+    def mark(self) -> object:
+        """Differs whenever the log does: the names of its files."""
+        fs, p = self.store.file_system(self.LOG)
+        return tuple(sorted(f.getPath().getName() for f in fs.listStatus(p))) if fs.exists(p) else ()
+
+    def fold(self, least: int = 2) -> int:
+        """Rewrite the log as one file with the newest entry of each object, if it has ``least`` files; returns how many went.
+
+        Entries that remove an object stay, so that a reader who still finds an older file isn't misled: the
+        new file is written before the files that it replaces go. For one maintainer at a time.
+        """
+        fs, p = self.store.file_system(self.LOG)
+        old = [f.getPath() for f in fs.listStatus(p) if f.getPath().getName().startswith("part-")] if fs.exists(p) else []
+        if len(old) < least:
+            return 0
+        log = self.spark.read.schema(SCHEMA).parquet(*[f.toString() for f in old])
+        columns = [f.split()[0] for f in SCHEMA.split(", ")]
+        newest = log.groupBy("object_key").agg(F.max_by(F.struct(*columns), "version").alias("m")).select("m.*")
+        newest.coalesce(1).write.mode("append").parquet(self.store.path(self.LOG))
+        for f in old:
+            fs.delete(f, False)
+        return len(old)
+
     def live(self) -> DataFrame:
         """All live objects."""
         if not self.store.exists(self.LOG):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import threading
 from collections.abc import Callable, Mapping, Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -13,42 +14,45 @@ from ..engine import Engine
 from ..functions.time import PRECISION_NS
 from ..sources import lineproto
 
-BATCH_BITS = 40
-
-
-def _epoch(engine: Engine, checkpoint: str) -> int:
-    """The sequence number at which the stream began, kept beside its checkpoint."""
-    jvm, conf = engine.spark._jvm, engine.spark._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(f"{checkpoint.rstrip('/')}/_seq_epoch")
-    fs = path.getFileSystem(conf)
-    if not fs.exists(path):
-        out = fs.create(path, False)
-        out.writeLong(engine.manifest.next_version())
-        out.close()
-    got = fs.open(path)
+def _version(engine: Engine, checkpoint: str, batch_id: int) -> int:
+    """The version of a batch, drawn when it is first tried and kept beside the checkpoint for when it is tried again."""
+    jvm = engine.spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{checkpoint.rstrip('/')}/_versions/{batch_id}")
+    fs = path.getFileSystem(engine.spark._jsc.hadoopConfiguration())
     try:
-        return got.readLong()
-    finally:
-        got.close()
+        got = fs.open(path)
+        try:
+            return got.readLong()
+        finally:
+            got.close()
+    except Py4JJavaError as e:  # none, or one that was not written to its end
+        if not e.java_exception.getClass().getName().endswith(("FileNotFoundException", "EOFException")):
+            raise
+    version = engine.manifest.next_version()
+    out = fs.create(path, True)
+    out.writeLong(version)
+    out.close()
+    # an earlier batch has ended, and isn't tried again
+    fs.delete(jvm.org.apache.hadoop.fs.Path(path.getParent(), str(batch_id - 1)), False)
+    return version
 
 
 def ingest(engine: Engine, lines: DataFrame, checkpoint: str, precision: str = "ns", every: str = "500 milliseconds", available_now: bool = False) -> StreamingQuery:
     """Write a stream of line-protocol text (column ``value``) to the engine.
 
-    A micro-batch has its own range of sequence numbers, made from its id, and objects named after
-    them: a batch that is run again after a failure replaces what it had written. Late points are
-    upserts like any other, so there is no watermark. Bad lines are counted as failed and skipped; a
-    batch's errors are the table ``_errors/N`` of the store, N being the batch's first sequence number.
+    A micro-batch has a version, drawn from the clock as any other write's when it is first tried, and
+    objects named after it: a batch that is run again after a failure replaces what it had written. Late
+    points are upserts like any other, so there is no watermark. Bad lines are counted as failed and
+    skipped; a batch's errors are the table ``_errors/N`` of the store, N being the batch's version.
     The source's rate options bound a batch, and its backlog waits in the source.
     """
     if precision not in PRECISION_NS:
         raise ValueError(f"precision is one of {', '.join(PRECISION_NS)}")
-    epoch = _epoch(engine, checkpoint)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         numbered = batch.select(F.monotonically_increasing_id().alias("ordinal"), F.lit(None).cast("bigint").alias("line_no"), F.col("value").alias("line"))
-        base = epoch + (batch_id << BATCH_BITS)
-        done = engine.write_points(lineproto.parse_lines(numbered, precision), base, f"_errors/{base}")
+        version = _version(engine, checkpoint, batch_id)
+        done = engine.write_points(lineproto.parse_lines(numbered, precision), version, f"_errors/{version}")
         engine.counters["failed"] += done.failed
 
     stream = lines.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)

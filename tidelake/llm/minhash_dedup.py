@@ -317,13 +317,13 @@ def _verified_links(rows: DataFrame, first: DataFrame, sketches: DataFrame, simi
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR) -> DataFrame:
-    """``doc_id, class_id, class_size, n_texts, kept`` of each row.
+    """``doc_id, text_hash, class_id, class_size, n_texts, kept`` of each row.
 
     A class is a connected component of texts of probability Jaccard ``similar`` or more, with all their
     copies; ``class_id`` is its smallest id, ``n_texts`` its number of different texts, and the row with
-    that id is kept. Texts of fewer than five words are one shingle; those without words only match
-    identical ones; null counts as empty. Null ids are in no ``class_id``; a class of such alone has a
-    null one and is kept. Rows repeated with one id share its fate.
+    that id is kept; of rows with one id the one whose ``text_hash`` is smallest. Texts of fewer than
+    five words are one shingle; those without words only match identical ones; null counts as empty. Null ids are in no ``class_id``; a class of such alone has a
+    null one. Rows that are alike in id and text are in no way told apart and all kept, or none.
     """
     small_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -337,5 +337,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classed = ids.join(classes, "node", "left").select("doc_id", "node", F.coalesce("component", "node").alias("_class"))
     per_text = classed.groupBy("_class", "node").agg(F.min("doc_id").alias("d"), F.count("*").alias("n"))
     # written, so that the join with the rows of a large class can be split
-    sizes = write_table(per_text.groupBy("_class").agg(F.min("d").alias("class_id"), F.sum("n").alias("class_size"), F.count("*").alias("n_texts")), "near-classes")
-    return classed.join(sizes, "_class").select("doc_id", "class_id", "class_size", "n_texts", F.coalesce(F.col("doc_id") == F.col("class_id"), F.col("class_id").isNull()).alias("kept"))
+    least = F.min(F.struct(F.col("d").isNull().alias("none"), "d", "node")).alias("least")
+    sizes = per_text.groupBy("_class").agg(least, F.sum("n").alias("class_size"), F.count("*").alias("n_texts"))
+    sizes = write_table(sizes.select("_class", F.col("least.d").alias("class_id"), F.col("least.node").alias("_kept"), "class_size", "n_texts"), "near-classes")
+    kept = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("node") == F.col("_kept"))
+    return classed.join(sizes, "_class").select("doc_id", F.col("node").alias("text_hash"), "class_id", "class_size", "n_texts", kept.alias("kept"))

@@ -23,15 +23,17 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, small_batches, words
+from .common import scratch, slices, small_batches, words, write_table
 
 TRAIN_ROWS = 20_000
-MODEL_TOKENS = 20_000
+FOLDS = 3
+PRIOR = 20_000.0
+Z_LEAST = 2.5
 
 
 @dataclass
 class ToxicModel:
-    """Log-odds of at most ``MODEL_TOKENS`` tokens, and a few numbers."""
+    """Log-odds of the significant tokens of at most ``TRAIN_ROWS`` documents, and a few numbers."""
 
     odds: dict[str, float] = field(default_factory=dict)
     shift: float = 0.4
@@ -72,18 +74,19 @@ def passages(scores: np.ndarray) -> list[tuple[int, int, float]]:
     return [(a, b, y - x) for a, b, x, y, _ in stack]
 
 
-def log_odds(counts: dict[str, tuple[int, int]], totals: tuple[int, int], prior: float = 20_000.0, z_least: float = 2.5) -> dict[str, float]:
+def log_odds(counts: dict[str, tuple[int, int]], totals: tuple[int, int], prior: float = PRIOR, z_least: float = Z_LEAST) -> dict[str, float]:
     """Token -> log-odds of the toxic class, of the tokens whose log-odds differ from zero by z_least deviations."""
     n1, n0 = totals
     out = {}
     for t, (y1, y0) in counts.items():
+        if not y1 + y0:  # seen in other rows only
+            continue
         a = prior * (y1 + y0) / max(1, n1 + n0)
         d = math.log((y1 + a) / (n1 + prior - y1 - a)) - math.log((y0 + a) / (n0 + prior - y0 - a))
         z = d / math.sqrt(1 / (y1 + a) + 1 / (y0 + a))
         if abs(z) >= z_least:
-            out[t] = (d, abs(z))
-    best = sorted(out.items(), key=lambda x: (-x[1][1], x[0]))[:MODEL_TOKENS]
-    return {t: max(-3.0, min(6.0, d)) for t, (d, _) in best}
+            out[t] = max(-3.0, min(6.0, d))
+    return out
 
 
 def _score_table(model: ToxicModel, flat: pa.Array) -> np.ndarray:
@@ -134,79 +137,125 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float,
     return (float(w[0] - (slopes * mean).sum()), *(float(v) for v in slopes))
 
 
-def train(docs: DataFrame, labels: DataFrame, train_on: Column, id_col: str = "doc_id", text_col: str = "text", max_rows: int = TRAIN_ROWS) -> ToxicModel:
-    """Fit on at most ``max_rows`` labelled rows, the smallest by a hash of their id, where ``train_on`` holds.
+def chosen_labels(labels: DataFrame, train_on: Column, id_col: str, max_rows: int) -> list[tuple[int, int]]:
+    """At most ``max_rows`` labelled ids that ``train_on`` allows, with their label: those with the smallest hashes.
 
-    A document with several labels is toxic if one of them says so; null labels and ids are left out.
-    Without any labelled row of either class the model is the default one, which calls nothing toxic.
+    Where there are more, only hashes under a bound that leaves about ``max_rows`` of them are sorted.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    chosen = (
-        labels.select(F.col(id_col).alias("doc_id"), F.col("toxic").cast("int").alias("y"))
+    known = (
+        labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("y"))
         .where("doc_id is not null and y is not null")
         .groupBy("doc_id")
         .agg(F.max("y").alias("y"))
         .where(train_on)
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(max_rows)
-        .collect()
+        .withColumn("_h", F.shiftrightunsigned(F.xxhash64("doc_id"), 1))
     )
+    n = known.count()
+    if n > 2 * max_rows:
+        known = known.where(F.col("_h") < F.lit(int(2**63 * (1.5 * max_rows / n))))
+    return [(r.doc_id, int(bool(r.y))) for r in known.orderBy("_h", "doc_id").limit(max_rows).collect()]
+
+
+def _significant(y1: Column, y0: Column, n1: Column, n0: Column, prior: float, z_least: float) -> Column:
+    """Whether log_odds() keeps a token."""
+    a = F.lit(prior) * (y1 + y0) / F.greatest(n1 + n0, F.lit(1))
+    d = F.log((y1 + a) / (n1 + F.lit(prior) - y1 - a)) - F.log((y0 + a) / (n0 + F.lit(prior) - y0 - a))
+    return (y1 + y0 > 0) & (F.abs(d / F.sqrt(1 / (y1 + a) + 1 / (y0 + a))) >= z_least * 0.999)
+
+
+def _fitted(counts: dict[str, tuple[int, int]], totals: tuple[int, int]) -> ToxicModel:
+    """Log-odds, and the lambda of the tokens of the other class; without a usable one the default model."""
+    odds = log_odds(counts, totals)
     model = ToxicModel()
-    if len({bool(r.y) for r in chosen}) < 2:
+    n0 = max(1, totals[1])
+    background = {t: counts[t][1] for t in odds}
+    s = np.array([odds[t] for t in background] + [0.0]) - model.shift
+    p = np.array([*background.values(), max(0, n0 - sum(background.values()))]) / n0
+    if not (s[:-1] > 0).any() or (s * p).sum() >= 0:
         return model
+    return ToxicModel(odds, lam=min(8.0, _lambda(s, p)))
+
+
+def train(docs: DataFrame, labels: DataFrame, train_on: Column, id_col: str = "doc_id", text_col: str = "text", max_rows: int = TRAIN_ROWS) -> ToxicModel:
+    """Fit on at most ``max_rows`` labelled rows, the smallest by a hash of their id, where ``train_on`` holds.
+
+    A document with several labels is toxic if one of them says so; null labels and ids are left out.
+    The chance level and the weights of the logistic regression come from documents that the log-odds
+    they are measured with have not seen: the rows are dealt into ``FOLDS``, each measured by the others'
+    log-odds. The final log-odds use all rows, and every token of theirs that is significant.
+    Without any labelled row of either class the model is the default one, which calls nothing toxic.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    chosen = chosen_labels(labels, train_on, id_col, max_rows)
+    if len({y for _, y in chosen}) < 2:
+        return ToxicModel()
+    # folds hold a like share of both classes
+    seen = [0, 0]
+    dealt = []
+    for i, y in chosen:
+        dealt.append((i, y, seen[y] % FOLDS))
+        seen[y] += 1
     # at most max_rows small rows, whatever the corpus
-    keys = F.broadcast(spark.createDataFrame([(r.doc_id, int(bool(r.y))) for r in chosen], "doc_id long, y int"))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text")).join(keys, "doc_id").select("y", "_text")
+    keys = F.broadcast(spark.createDataFrame(dealt, "_label_of long, _y int, _fold int"))
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).join(keys, F.col("_id") == F.col("_label_of")).select("_y", "_fold", "_text")
+    columns = [f"y{y}_{f}" for f in range(FOLDS) for y in (1, 0)]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            label = batch.column("y").to_numpy(zero_copy_only=False)
+            label, fold = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("_y", "_fold"))
             for at, texts in slices(batch.column("_text")):
                 offsets, flat = tokens(texts)
-                toxic = np.repeat(label[at : at + len(texts)], np.diff(offsets))
+                sizes = np.diff(offsets)
+                y, f = (np.repeat(x[at : at + len(texts)], sizes) for x in (label, fold))
                 coded = flat.dictionary_encode()
                 index, n = coded.indices.to_numpy(zero_copy_only=False), len(coded.dictionary)
-                one = np.bincount(index[toxic == 1], minlength=n)
-                yield pa.RecordBatch.from_arrays([coded.dictionary, pa.array(one), pa.array(np.bincount(index, minlength=n) - one)], ["token", "y1", "y0"])
-
-    counted = rows.mapInArrow(count, "token string, y1 long, y0 long").groupBy("token").agg(F.sum("y1").alias("y1"), F.sum("y0").alias("y0"))
-    # a token seen less than three times is never significant; the order makes the bound repeatable
-    total = counted.agg(F.sum("y1"), F.sum("y0")).first()
-    frequent = counted.where("y1 + y0 >= 3").orderBy(F.desc(F.col("y1") + F.col("y0")), "token").limit(10 * MODEL_TOKENS).collect()
-    model.odds = log_odds({r.token: (r.y1, r.y0) for r in frequent}, (total[0] or 0, total[1] or 0))
-    background = {r.token: r.y0 for r in frequent if r.token in model.odds}
-    n0 = max(1, total[1] or 0)
-    s = np.array([model.odds[t] for t in background] + [0.0]) - model.shift
-    p = np.array([*background.values(), max(0, n0 - sum(background.values()))]) / n0
-    if not (s[:-1] > 0).any() or (s * p).sum() >= 0:
+                some = [pa.array(np.bincount(index[(y == k) & (f == j)], minlength=n)) for j in range(FOLDS) for k in (1, 0)]
+                yield pa.RecordBatch.from_arrays([coded.dictionary, *some], ["token", *columns])
+
+    counted = rows.mapInArrow(count, "token string, " + ", ".join(f"{c} long" for c in columns)).groupBy("token").agg(*[F.sum(c).alias(c) for c in columns])
+    with scratch():
+        counted = write_table(counted, "toxic-counts")
+        totals = [int(x or 0) for x in counted.agg(*[F.sum(c) for c in columns]).first()]
+
+        def of(values, left_out: int | None, y: int):
+            """Counts of class y in all folds but one."""
+            return sum((values[2 * f + 1 - y] for f in range(FOLDS) if f != left_out), start=0)
+
+        wanted = F.lit(False)
+        for f in (None, *range(FOLDS)):
+            own = [F.col(c) for c in columns]
+            wanted |= _significant(of(own, f, 1), of(own, f, 0), F.lit(of(totals, f, 1)), F.lit(of(totals, f, 0)), PRIOR, Z_LEAST)
+        # of the tokens of max_rows documents, those that are significant in a fold
+        got = [(r.token, list(r)[1:]) for r in counted.where(wanted).collect()]
+    fit = lambda f: _fitted({t: (of(x, f, 1), of(x, f, 0)) for t, x in got}, (of(totals, f, 1), of(totals, f, 0)))
+    models = [fit(f) for f in range(FOLDS)]
+    model = fit(None)
+    if not model.odds:
         return model
-    model.lam = min(8.0, _lambda(s, p))
+    shipped = spark.sparkContext.broadcast(models)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Every row's passages by the model that has not seen it, in nats before the chance level is taken off."""
         for batch in batches:
-            label = batch.column("y")
+            label, fold = batch.column("_y"), batch.column("_fold").to_pylist()
             for at, texts in slices(batch.column("_text")):
                 offsets, flat = tokens(texts)
-                scores = _score_table(model, flat)
-                best = [max((x for _, _, x in passages(scores[a:b])), default=0.0) for a, b in zip(offsets[:-1], offsets[1:])]
-                yield pa.RecordBatch.from_arrays([label.slice(at, len(texts)), pa.array(np.diff(offsets)), pa.array(best, pa.float64())], ["y", "n", "best"])
+                tables = {f: _score_table(shipped.value[f], flat) for f in {*fold[at : at + len(texts)]}}
+                found = [[shipped.value[f].lam * x for _, _, x in passages(tables[f][a:b])] for f, a, b in zip(fold[at : at + len(texts)], offsets[:-1], offsets[1:])]
+                yield pa.RecordBatch.from_arrays([label.slice(at, len(texts)), pa.array(np.diff(offsets)), pa.array(found, pa.list_(pa.float64()))], ["y", "n", "nats"])
 
-    seen = rows.mapInArrow(measure, "y int, n long, best double").agg(
+    with scratch():
+        measured = write_table(rows.mapInArrow(measure, "y int, n long, nats array<double>"), "toxic-measured")
+        chance = F.log(F.greatest("n", F.lit(1)).cast("double"))
         # a Gumbel variable's mean is 0.5772 above its mode, which gives K
-        F.avg(F.when((F.col("y") == 0) & (F.col("best") > 0), F.lit(model.lam) * F.col("best") - F.log(F.greatest("n", F.lit(1))))).alias("m")
-    ).first()
-    model.log_k = (seen.m if seen.m is not None else 0.5772) - 0.5772
-
-    def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at, texts in slices(batch.column("_text")):
-                f = [(a, b) for a, b, _ in features(model, texts)]
-                yield pa.RecordBatch.from_arrays([batch.column("y").slice(at, len(texts)), pa.array([x for x, _ in f], pa.float64()), pa.array([x for _, x in f], pa.float64())], ["y", "best", "total"])
-
-    got = rows.mapInArrow(described, "y int, best double, total double").collect()  # max_rows rows of three numbers
-    if got:
-        model.weights = _logistic(np.array([(r.best, r.total) for r in got]), np.array([r.y for r in got], float))
+        level = measured.where((F.col("y") == 0) & (F.size("nats") > 0)).agg(F.avg(F.array_max("nats") - chance)).first()[0]
+        model.log_k = (level if level is not None else 0.5772) - 0.5772
+        above = F.transform("nats", lambda x: x - F.col("chance"))
+        toxic = F.aggregate(F.filter(above, lambda x: x >= model.level), F.lit(0.0), lambda s, x: s + x)
+        described = measured.withColumn("chance", chance + F.lit(model.log_k)).select("y", F.coalesce(F.array_max(above), -F.col("chance")).alias("best"), F.log1p(toxic).alias("total"))
+        rows_ = described.collect()  # max_rows rows of three numbers
+    model.weights = _logistic(np.array([(r.best, r.total) for r in rows_]), np.array([r.y for r in rows_], float))
     return model
 
 

@@ -284,7 +284,7 @@ def test_lines_edges(spark):
     assert line_dedup.line_dedup(frame(spark, [])).count() == 0
     out = line_dedup.line_dedup(frame(spark, [None, ""])).orderBy("doc_id").collect()
     assert [(r.text, r.n_lines) for r in out] == [(None, 0), ("", 1)]
-    assert line_dedup.line_dedup(frame(spark, ["a b"])).columns == [c for c in SCHEMA.replace(",", "").split()[::2] if c not in ("_key", "_gone")] + ["n_lines", "n_removed"]
+    assert line_dedup.line_dedup(frame(spark, ["a b"])).columns == SCHEMA.replace(",", "").split()[::2] + ["n_lines", "n_removed"]
 
 
 def test_lines_run_no_python(spark, texts):
@@ -300,12 +300,12 @@ def test_packing(spark):
     sizes = [0, None, 1, 8192, 8193, 30000, -4] + [rng.randint(1, 9000) for _ in range(300)]
     df = spark.createDataFrame([(i, n, "x") for i, n in enumerate(sizes)], "doc_id long, n int, bin_id string")
     got = packing.pack(df, "n", shard_pieces=100).toPandas()
-    assert got.groupby("doc_id").n_tokens.sum().to_dict() == {i: max(0, n or 0) for i, n in enumerate(sizes)}
+    assert got.groupby("doc_id").length.sum().to_dict() == {i: max(0, n or 0) for i, n in enumerate(sizes)}
     real = got.dropna()
     for _, own in real.groupby("bin_id"):
         own = own.sort_values("bin_offset")
-        assert list(own.bin_offset) == list(np.cumsum([0, *own.n_tokens[:-1]]))
-        load, capacity = own.n_tokens.sum(), own.capacity.iloc[0]
+        assert list(own.bin_offset) == list(np.cumsum([0, *own.length[:-1]]))
+        load, capacity = own.length.sum(), own.capacity.iloc[0]
         assert (own.bin_load == load).all() and capacity == min(c for c in packing.CAPACITIES if c >= load)
     assert real.drop_duplicates("bin_id").bin_load.sum() / real.drop_duplicates("bin_id").capacity.sum() > 0.95
     assert packing.pack(df.where("doc_id < 0"), "n").count() == 0

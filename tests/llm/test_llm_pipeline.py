@@ -50,4 +50,4 @@ def test_all_documents_end_in_a_stage(spark):
     out = corpus_pipeline.run(spark, DATA)
     ids = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id")
     assert out.join(ids, "doc_id", "left_anti").count() == 0
-    assert out.where("bin_id IS NOT NULL").groupBy("bin_id").agg({"n_tokens": "sum", "capacity": "max"}).where("`sum(n_tokens)` > `max(capacity)`").count() == 0
+    assert out.where("bin_id IS NOT NULL").groupBy("bin_id").agg({"length": "sum", "capacity": "max"}).where("`sum(length)` > `max(capacity)`").count() == 0

@@ -5,11 +5,7 @@ Words are maximal runs of bytes other than space and 0x09-0x0D, unchanged. Null
 
 from __future__ import annotations
 
-import atexit
 import ctypes
-import gc
-import shutil
-import tempfile
 import threading
 import uuid
 from collections.abc import Callable, Iterator
@@ -26,7 +22,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 SLICE_BYTES = 2 << 20
 BROADCAST_BYTES = 8 << 20
 TRIM_BYTES = 8 << 20
-_local: list[str] = []
+#: Spark deletes the shuffle files of a query when it has ended, instead of whenever the driver collects garbage
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_kept: list[DataFrame] = []
 _open = threading.local()
 try:
     _libc = ctypes.CDLL("libc.so.6")
@@ -35,30 +33,37 @@ except OSError:  # not on glibc
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder from ``spark.checkpoint.dir``; only where that is unset, a local one."""
+    """The cluster's shared folder from ``spark.checkpoint.dir``; where that is unset, one in the warehouse, which is shared too."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return shared.rstrip("/")
-    if not _local:
-        _local.append(tempfile.mkdtemp(prefix="tidelake-"))
-        atexit.register(shutil.rmtree, _local[0], ignore_errors=True)
-    return f"file://{_local[0]}"
+    return (shared or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch").rstrip("/")
 
 
 def write_table(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write ``df`` once to the shared folder and read it back. It survives lost executors."""
-    path = f"{scratch_dir(df.sparkSession)}/tidelake/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    """Cut lineage: write ``df`` once to the shared folder and read it back. It survives lost executors.
+
+    The shuffle files behind the table go when it has been written.
+    """
+    spark = df.sparkSession
+    path = f"{scratch_dir(spark)}/tidelake/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
-    for scope in getattr(_open, "scopes", [])[-1:]:
-        scope.append(out)
-    # shuffle files of the steps behind the table go once the driver has collected their plans
-    gc.collect()
-    df.sparkSession._jvm.System.gc()
+    scopes = getattr(_open, "scopes", [])
+    (scopes[-1] if scopes else _kept).append(out)
     return out
 
 
+def release() -> None:
+    """Delete the tables that results of the operators are still read from: for when all these have been written."""
+    while _kept:
+        drop_table(_kept.pop())
+
+
 def drop_table(table: DataFrame) -> None:
     """Delete a table of ``write_table`` that nothing reads any more."""
     spark = table.sparkSession
@@ -86,8 +91,7 @@ def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
         for table in own:
             if not any(table is k for k in kept):
                 drop_table(table)
-        if _open.scopes:
-            _open.scopes[-1] += [t for t in own if any(t is k for k in kept)]
+        (_open.scopes[-1] if _open.scopes else _kept).extend(t for t in own if any(t is k for k in kept))
 
 
 def checked_broadcast(table: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:

@@ -17,7 +17,7 @@ needs_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the drive
 
 @needs_data
 def test_as_of_join_takes_every_order(spark):
-    got = QUERIES["as_of_join_all"](spark, DATA).select("o_orderkey").toPandas()["o_orderkey"]
+    got = QUERIES["as_of_join"](spark, DATA).select("o_orderkey").toPandas()["o_orderkey"]
     want = spark.read.parquet(f"{DATA}/orders.parquet").select("o_orderkey").toPandas()["o_orderkey"]
     assert sorted(got) == sorted(want)
 
@@ -27,9 +27,9 @@ def test_islands_and_coverage_take_every_user(spark, tmp_path):
     # no user is a multiple of five; together they fill the first chunk of four hours and not the second
     rows = [(day + timedelta(minutes=30 * i), "click", i % 4 + 1) for i in range(10)]
     spark.createDataFrame(rows, "ts timestamp_ntz, event_type string, user_id long").write.parquet(f"{tmp_path}/events.parquet")
-    islands = QUERIES["interval_islands_all"](spark, str(tmp_path)).collect()
+    islands = QUERIES["interval_islands"](spark, str(tmp_path)).collect()
     assert [tuple(r) for r in islands] == [("click", day, day + timedelta(minutes=306), 10)]
-    covered = {r.chunk_start: r.covered for r in QUERIES["chunk_coverage_all"](spark, str(tmp_path)).collect()}
+    covered = {r.chunk_start: r.covered for r in QUERIES["chunk_coverage"](spark, str(tmp_path)).collect()}
     assert covered == {day: True, day + timedelta(hours=4): False}
 
 

@@ -6,7 +6,7 @@ fields and event_id its sequence number.
 
 from __future__ import annotations
 
-import tempfile
+import json
 import uuid
 from collections.abc import Callable
 
@@ -27,6 +27,7 @@ from .plans.federation import lattice_types, union_by_name
 from .plans.sqlapi import prepare
 from .plans.tiering import compacted, eligible_chunks
 from .sources import lineproto
+from .sources.bulk import read_csv
 from .sources.manifest import object_status, prune
 from .sources.synthetic import synthetic_points
 
@@ -236,12 +237,13 @@ def manifest_measurements(spark, sf_dir):
     return objects(spark, sf_dir).select("measurement").distinct().orderBy("measurement")
 
 
-_SPANS = "s AS (SELECT event_type AS measurement, ts AS range_start, ts + INTERVAL 3 HOUR AS range_end FROM events WHERE user_id % 5 = 0), m AS (SELECT *, max(range_end) OVER (PARTITION BY measurement ORDER BY range_start, range_end ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM s), i AS (SELECT *, sum(CASE WHEN range_start <= reached THEN 0 ELSE 1 END) OVER (PARTITION BY measurement ORDER BY range_start, range_end ROWS UNBOUNDED PRECEDING) AS island FROM m), g AS (SELECT measurement, min(range_start) AS range_start, max(range_end) AS range_end, count(*) AS n FROM i GROUP BY measurement, island)"
+_SPANS = "s AS (SELECT event_type AS measurement, ts AS range_start, ts + INTERVAL 36 MINUTE AS range_end FROM events), m AS (SELECT *, max(range_end) OVER (PARTITION BY measurement ORDER BY range_start, range_end ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM s), i AS (SELECT *, sum(CASE WHEN range_start <= reached THEN 0 ELSE 1 END) OVER (PARTITION BY measurement ORDER BY range_start, range_end ROWS UNBOUNDED PRECEDING) AS island FROM m), g AS (SELECT measurement, min(range_start) AS range_start, max(range_end) AS range_end, count(*) AS n FROM i GROUP BY measurement, island)"
 
 
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A span of 36 minutes for each event."""
     t = F.col("ts").cast("timestamp")
-    return table(spark, sf_dir, "events").where("user_id % 5 = 0").select(F.col("event_type").alias("measurement"), t.alias("range_start"), (t + F.expr("INTERVAL '3' HOUR")).alias("range_end"))
+    return table(spark, sf_dir, "events").select(F.col("event_type").alias("measurement"), t.alias("range_start"), (t + F.expr("INTERVAL '36' MINUTE")).alias("range_end"))
 
 
 @query(f"WITH {_SPANS} SELECT * FROM g")
@@ -262,25 +264,6 @@ def chunk_coverage(spark, sf_dir):
     return covered_chunks(chunks(spark, sf_dir), spans(spark, sf_dir), ["measurement"]).select("measurement", plain("chunk_start"), plain("chunk_end"), "covered")
 
 
-_ALL_SPANS = _SPANS.replace("INTERVAL 3 HOUR", "INTERVAL 36 MINUTE").replace(" WHERE user_id % 5 = 0", "")
-
-
-def all_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A span for each event: five times as many as spans() has, and so a fifth as long."""
-    t = F.col("ts").cast("timestamp")
-    return table(spark, sf_dir, "events").select(F.col("event_type").alias("measurement"), t.alias("range_start"), (t + F.expr("INTERVAL '36' MINUTE")).alias("range_end"))
-
-
-@query(f"WITH {_ALL_SPANS} SELECT * FROM g")
-def interval_islands_all(spark, sf_dir):
-    return merge_intervals(all_spans(spark, sf_dir), ["measurement"]).select("measurement", plain("range_start"), plain("range_end"), "n")
-
-
-@query(f"WITH {_ALL_SPANS}, {_CHUNKS} SELECT measurement, chunk_start, chunk_end, EXISTS (SELECT 1 FROM g WHERE g.measurement = c.measurement AND g.range_start <= c.chunk_start AND g.range_end >= c.chunk_end) AS covered FROM c")
-def chunk_coverage_all(spark, sf_dir):
-    return covered_chunks(chunks(spark, sf_dir), all_spans(spark, sf_dir), ["measurement"]).select("measurement", plain("chunk_start"), plain("chunk_end"), "covered")
-
-
 @query(f"WITH {_CHUNKS} SELECT measurement, count(*) AS n, max(chunk_end) AS last FROM c WHERE chunk_end <= TIMESTAMP '2024-01-31' - INTERVAL '7 days' GROUP BY 1")
 def eviction_eligible(spark, sf_dir):
     out = eligible_chunks(chunks(spark, sf_dir), "2024-01-31", "7 days")
@@ -290,9 +273,14 @@ def eviction_eligible(spark, sf_dir):
 # the engine itself, over a root of its own
 
 
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share: in spark.checkpoint.dir, or else in the warehouse."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/tidelake-{name}-{uuid.uuid4().hex}"
+
+
 def _new_engine(spark: SparkSession, config: Config | None = None) -> Engine:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return Engine(spark, f"{base.rstrip('/')}/tidelake-{uuid.uuid4().hex}", config)
+    return Engine(spark, _folder(spark, "root"), config)
 
 
 def _engine(spark: SparkSession, sf_dir: str, config: Config | None = None) -> Engine:
@@ -353,6 +341,78 @@ def engine_export_range(spark, sf_dir):
     return spark.read.parquet(path).select(plain("time"), "t_event_type", "t_user_id", "f_value", "f_k")
 
 
+@query(f"WITH v AS ({_V}) SELECT time, t_event_type, t_user_id, CASE WHEN seq % 50 = 0 THEN -1.0 ELSE f_value END AS f_value FROM v")
+def engine_load_then_write(spark, sf_dir):
+    """A write after a load of many partitions wins, whatever the partition of its rows."""
+    engine = _new_engine(spark)
+    engine.load(table(spark, sf_dir, "events").repartition(64), "events", ["event_type", "user_id"], ["value"], "ts")
+    m = measurement(spark, sf_dir).where("seq % 50 = 0").withColumn("f_value", F.lit(-1.0))
+    lines = lineproto.to_lines(m, "events", {"event_type": "t_event_type", "user_id": "t_user_id"}, {"value": "f_value"})
+    engine.write_points(lineproto.parse_lines(lines.select(F.monotonically_increasing_id().alias("ordinal"), F.lit(None).cast("bigint").alias("line_no"), "line")))
+    return engine.relation("events", "all").select(plain("time"), "t_event_type", "t_user_id", "f_value")
+
+
+@query(f"WITH v AS ({_V}) SELECT time, t_event_type, t_user_id, f_value, f_k FROM v")
+def engine_two_instances(spark, sf_dir):
+    """What one instance adds, a column too, another one of the same root reads."""
+    first = _new_engine(spark, Config(chunk="7 days"))
+    second = Engine(spark, first.store.root, first.config)
+    e = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("bigint"))
+    first.load(e.where("event_id % 2 = 0").drop("k"), "events", ["event_type", "user_id"], ["value"], "ts")
+    second.columns("events")
+    first.load(e, "events", ["event_type", "user_id"], ["value", "k"], "ts")
+    return second.relation("events", "all").select(plain("time"), "t_event_type", "t_user_id", "f_value", "f_k")
+
+
+@query(f"WITH v AS ({_V}) SELECT time, t_event_type, t_user_id, f_value FROM v")
+def bulk_csv_load(spark, sf_dir):
+    path = _folder(spark, "csv")
+    table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("time"), "event_type", "user_id", "value").write.option("header", True).option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").csv(path)
+    engine = _new_engine(spark, Config(chunk="7 days"))
+    engine.load(read_csv(spark, path, "time timestamp, event_type string, user_id bigint, value double"), "events", ["event_type", "user_id"], ["value"])
+    return engine.relation("events").select(plain("time"), "t_event_type", "t_user_id", "f_value")
+
+
+@query(f"WITH v AS ({_V}) SELECT time, t_event_type, t_user_id, f_value FROM v WHERE time >= TIMESTAMP '2024-02-01' - INTERVAL '10 days'")
+def engine_retention(spark, sf_dir):
+    engine = _new_engine(spark, Config(write_through=False))
+    engine.load(table(spark, sf_dir, "events"), "events", ["event_type", "user_id"], ["value"], "ts")
+    engine.retain("10 days", now="2024-02-01")
+    return engine.relation("events").select(plain("time"), "t_event_type", "t_user_id", "f_value")
+
+
+@query("SELECT time_bucket(INTERVAL '1 day', ts) AS chunk_start, time_bucket(INTERVAL '1 day', ts) + INTERVAL '1 day' AS chunk_end, 1 AS objects, count(DISTINCT (ts, event_type, user_id)) AS rows FROM events GROUP BY 1, 2")
+def engine_show_chunks(spark, sf_dir):
+    engine = _new_engine(spark, Config(write_through=False))
+    engine.load(table(spark, sf_dir, "events"), "events", ["event_type", "user_id"], ["value"], "ts")
+    chunks_ = [(c["chunk_start"].replace(tzinfo=None), c["chunk_end"].replace(tzinfo=None), c["objects"], c["rows"]) for c in engine.show_chunks("events")]
+    return spark.createDataFrame(chunks_, "chunk_start timestamp_ntz, chunk_end timestamp_ntz, objects int, rows bigint")
+
+
+@query("SELECT 1 AS step, count(*) FILTER (event_type = 'click' AND ts < '2024-01-15') AS n FROM events UNION ALL SELECT 2, count(*) FILTER (NOT (event_type = 'click' AND ts < '2024-01-15')) FROM events UNION ALL SELECT 3, 0 UNION ALL SELECT 4, count(*) FROM events UNION ALL SELECT 5, 0")
+def engine_delete_counts(spark, sf_dir):
+    """Deleted rows: of a tag and range, of the rest, of nothing; then what cold still has, and what a window without objects has."""
+    engine = _new_engine(spark, Config(chunk="7 days"))
+    engine.load(table(spark, sf_dir, "events"), "events", ["event_type", "user_id"], ["value"], "ts")
+    n = [engine.delete("events", {"event_type": "click"}, end="2024-01-15"), engine.delete("events"), engine.delete("events")]
+    n += [engine.relation("events", "all").count(), engine.relation("events", "cold", start="2030-01-01").count()]
+    return spark.createDataFrame(list(enumerate(n, 1)), "step int, n bigint")
+
+
+@query("SELECT event_type AS t_event_type, count(*) AS n, strftime(max(ts), '%Y-%m-%dT%H:%M:%S') AS last FROM events GROUP BY 1")
+def engine_json_rows(spark, sf_dir):
+    engine = _new_engine(spark, Config(chunk="7 days"))
+    engine.load(table(spark, sf_dir, "events"), "events", ["event_type", "user_id"], ["value"], "ts")
+    rows = json.loads(engine.query_json("SELECT t_event_type, count(*) AS n, max(time) AS last FROM lp.events GROUP BY 1", tier="all"))
+    return spark.createDataFrame([(r["t_event_type"], r["n"], r["last"][:19]) for r in rows], "t_event_type string, n bigint, last string")
+
+
+@query("SELECT event_id, (props->>'$.k')::BIGINT AS k, json_extract_string(props, '$.none') IS NULL AS missing FROM events")
+def json_functions(spark, sf_dir):
+    table(spark, sf_dir, "events").createOrReplaceTempView("tl_events")
+    return spark.sql("SELECT event_id, from_json(props, 'k BIGINT').k AS k, get_json_object(props, '$.none') IS NULL AS missing FROM tl_events")
+
+
 # parsing and functions
 
 
@@ -419,9 +479,8 @@ def coercions(spark, sf_dir):
 
 @query("SELECT time_bucket(INTERVAL '15 minutes', ts) AS bucket, event_type AS t_event_type, round(avg(value), 4) AS v, count(*) AS n FROM events GROUP BY 1, 2")
 def rollup_refreshed(spark, sf_dir):
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
     m = measurement(spark, sf_dir)
-    rollup = Rollup(spark, f"{base.rstrip('/')}/tidelake-rollup-{uuid.uuid4().hex}", "15 minutes", ["t_event_type"], {"v": "f_value"})
+    rollup = Rollup(spark, _folder(spark, "rollup"), "15 minutes", ["t_event_type"], {"v": "f_value"})
     day = F.date_trunc("day", "time")
     text = lambda c: c.cast("string")
     start, middle, end = m.agg(text(F.min(day)), text(F.timestamp_micros(((F.unix_micros(F.min(day)) + F.unix_micros(F.max(day))) / 2).cast("bigint"))), text(F.max(day) + F.expr("INTERVAL '1' DAY"))).first()
@@ -438,16 +497,8 @@ def gap_filled(spark, sf_dir):
     return gapfill(hours, "bucket", "1 hour", ["event_type"], "2024-01-02", "2024-01-03").select("event_type", plain("bucket"), "total")
 
 
-@query("SELECT o_orderkey, o_orderdate, e.event_id, e.value FROM orders o ASOF LEFT JOIN (SELECT user_id % 10 AS k, ts, event_id, value FROM events) e ON o.o_custkey % 10 = e.k AND o.o_orderdate + INTERVAL '9490 days' >= e.ts WHERE o_orderkey % 3 = 0")
-def as_of_join(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0").select("o_orderkey", "o_orderdate", (F.col("o_custkey") % 10).alias("k"), (F.col("o_orderdate") + F.expr("INTERVAL '9490' DAY")).alias("at"))
-    e = table(spark, sf_dir, "events").select((F.col("user_id") % 10).alias("k"), "ts", "event_id", "value")
-    return asof_join(o, e, ["k"], "at", "ts", ["event_id", "value"]).select("o_orderkey", "o_orderdate", "event_id", "value")
-
-
 @query("SELECT o_orderkey, o_orderdate, e.event_id, e.value FROM orders o ASOF LEFT JOIN (SELECT user_id % 10 AS k, ts, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY 1, 2) e ON o.o_custkey % 10 = e.k AND o.o_orderdate + INTERVAL '9490 days' >= e.ts")
-def as_of_join_all(spark, sf_dir):
-    """All orders; as_of_join has a third of them."""
+def as_of_join(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", (F.col("o_custkey") % 10).alias("k"), (F.col("o_orderdate") + F.expr("INTERVAL '9490' DAY")).alias("at"))
     e = table(spark, sf_dir, "events").select((F.col("user_id") % 10).alias("k"), "ts", "event_id", "value")
     return asof_join(o, e, ["k"], "at", "ts", ["event_id", "value"]).select("o_orderkey", "o_orderdate", "event_id", "value")
@@ -469,7 +520,8 @@ def passed(name: str, sql: str) -> None:
 passed("sql_joins", "SELECT n_name, r_name, count(*) AS n, count(o_orderkey) AS orders FROM region JOIN nation ON r_regionkey = n_regionkey JOIN customer ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey GROUP BY n_name, r_name")
 passed("sql_full_join", "SELECT coalesce(a.k, b.k) AS k, a.n AS suppliers, b.n AS customers FROM (SELECT s_nationkey AS k, count(*) AS n FROM supplier WHERE s_nationkey % 2 = 0 GROUP BY 1) a FULL OUTER JOIN (SELECT c_nationkey AS k, count(*) AS n FROM customer WHERE c_nationkey % 3 = 0 GROUP BY 1) b ON a.k = b.k")
 passed("sql_semi_join", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000)")
-passed("sql_anti_join", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+passed("sql_anti_join", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 250000)")
+passed("sql_cross_join", "SELECT r_name, n_name FROM region CROSS JOIN nation")
 passed("sql_range_join", "SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_acctbal < b.s_acctbal AND b.s_acctbal < a.s_acctbal + 1000")
 passed("sql_grouping_sets", "SELECT l_returnflag, l_linestatus, count(*) AS n, grouping(l_returnflag) AS g FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_returnflag), ())")
 passed("sql_rollup_having", "SELECT event_type, user_id, count(*) AS n FROM events GROUP BY ROLLUP (event_type, user_id) HAVING count(*) > 3")
@@ -477,6 +529,9 @@ passed("sql_cube", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM or
 passed("sql_distinct_aggregates", "SELECT event_type, count(DISTINCT user_id) AS users, min(value) AS low, max(value) AS high FROM events GROUP BY event_type")
 passed("sql_first_and_last", "SELECT event_type, min_by(value, ts) AS first, max_by(value, ts) AS last FROM events GROUP BY event_type")
 passed("sql_windows", "SELECT event_id, rank() OVER (PARTITION BY event_type ORDER BY user_id) AS r, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts) AS previous, cast(sum(event_id) OVER (PARTITION BY event_type ORDER BY ts ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS bigint) AS s FROM events")
+passed("sql_ordered_sets", "SELECT event_type, round(percentile_cont(0.5) WITHIN GROUP (ORDER BY value), 6) AS middle, percentile_disc(0.9) WITHIN GROUP (ORDER BY user_id) AS high, count(*) FILTER (WHERE value > 50) AS n FROM events GROUP BY event_type")
+passed("sql_approximate", "SELECT event_type, abs(approx_count_distinct(user_id) - count(DISTINCT user_id)) <= 0.2 * count(DISTINCT user_id) AS near FROM events GROUP BY event_type")
+passed("sql_strings", "SELECT c_custkey, upper(c_name) AS u, substr(c_name, 3, 5) AS part, replace(c_name, '#', '-') AS r, length(c_name) AS n, concat(c_mktsegment, '/', c_custkey) AS c, lpad(cast(c_custkey AS string), 8, '0') AS p, CASE WHEN c_name LIKE '%1%' THEN 'one' ELSE 'none' END AS has, coalesce(nullif(c_mktsegment, 'BUILDING'), '?') AS s FROM customer")
 passed("sql_set_operations", "(SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier) UNION (SELECT n_nationkey FROM nation WHERE n_regionkey = 1 EXCEPT SELECT s_nationkey FROM supplier)")
 passed("sql_pricing_summary", "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, round(avg(l_discount), 6) AS avg_disc, count(*) AS n FROM lineitem WHERE l_shipdate <= '1998-09-02' GROUP BY l_returnflag, l_linestatus")
 
@@ -489,7 +544,7 @@ def stream_rollup(spark, sf_dir):
     from .streaming.ingest import rollup_stream
 
     e = table(spark, sf_dir, "events")
-    base = f"{(spark.conf.get('spark.checkpoint.dir', None) or tempfile.gettempdir()).rstrip('/')}/tidelake-stream-{uuid.uuid4().hex}"
+    base = _folder(spark, "stream")
     e.withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(f"{base}/in")
     rows = spark.readStream.schema(spark.read.parquet(f"{base}/in").schema).parquet(f"{base}/in")
     out = rollup_stream(rows, "1 hour", "10 minutes", ["event_type"], {"v": "value"}, "ts")
@@ -503,7 +558,7 @@ def stream_ingest(spark, sf_dir):
     from .streaming.ingest import ingest
 
     m = measurement(spark, sf_dir)
-    base = f"{(spark.conf.get('spark.checkpoint.dir', None) or tempfile.gettempdir()).rstrip('/')}/tidelake-stream-{uuid.uuid4().hex}"
+    base = _folder(spark, "stream")
     engine = Engine(spark, f"{base}/root", Config(chunk="7 days"))
     for i, version in enumerate((m, rewritten(m))):
         lineproto.to_lines(version, "events", {"event_type": "t_event_type", "user_id": "t_user_id"}, {"value": "f_value", "k": "f_k"}).coalesce(1).write.mode("append").text(f"{base}/in")

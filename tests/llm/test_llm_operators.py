@@ -94,6 +94,51 @@ def test_phrases_cover_every_window_once():
     assert got == [(r, i) for r, x in enumerate(lists) for i in range(len(x) - 34)] and n.max() <= 28
 
 
+def brute_longest(phrases, blocks):
+    """The longest match of each place elsewhere in its block."""
+    places = [(k, i) for k, p in enumerate(phrases) for i in range(len(p))]
+
+    def common(a, b):
+        return next((n for n, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+    return [max((common(phrases[k][i:], phrases[m][j:]) for m, j in places if (m, j) != (k, i) and blocks[m] == blocks[k]), default=0) for k, i in places]
+
+
+def test_factors_are_the_longest_matches():
+    rng = random.Random(31)
+    for turn in range(60):
+        blocks = sorted(rng.randint(0, 2) for _ in range(rng.randint(1, 7)))
+        phrases = [[rng.choice("abc") for _ in range(rng.randint(1, 20))] for _ in blocks]
+        sizes = np.array([len(p) for p in phrases])
+        ends_of = np.cumsum(sizes)
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        codes = hash_words(pa.array([w for p in phrases for w in p], pa.string()))
+        length, source = substring_dedup.longest_matches(codes, ends_of[row], np.array(blocks)[row])
+        assert length.tolist() == brute_longest(phrases, blocks)
+        flat = [w for p in phrases for w in p]
+        for i, (n, j) in enumerate(zip(length.tolist(), source.tolist())):
+            assert (j < 0) == (n == 0) and (n == 0 or (j != i and flat[i : i + n] == flat[j : j + n]))
+        place, size = substring_dedup.factors(length, ends_of - sizes, ends_of)
+        at = 0
+        for x, n in zip(place.tolist(), size.tolist()):  # greedy, one after another, without a gap
+            assert x == at and n == max(1, int(length[x]))
+            at += n
+        assert at == len(flat)
+        again = substring_dedup.repeated_windows(length, ends_of - sizes, ends_of, 4)
+        assert again.tolist() == [n >= 4 for n in length.tolist()]
+
+
+def test_large_blocks_give_the_same_windows(spark, texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "_key long, _text string").where("_text is not null")
+
+    def covered(limit):
+        found = substring_dedup.repeated_spans(rows, 35, limit).collect()
+        return {(r["_key"], s.start + i) for r in found for s in r.spans for i in range(s.n)}
+
+    # all blocks indexed, all counted, and some of both
+    assert covered(1024) == covered(1) == covered(2) != set()
+
+
 # op2
 
 
@@ -311,6 +356,57 @@ def test_packing(spark):
     assert packing.pack(df.where("doc_id < 0"), "n").count() == 0
 
 
+def plain_best_fit(sizes, capacity):
+    """The loads when each size goes into the fullest bin of one capacity that has room."""
+    loads = []
+    for n in sizes:
+        fits = [i for i, x in enumerate(loads) if x + n <= capacity]
+        if fits:
+            loads[max(fits, key=lambda i: loads[i])] += n
+        else:
+            loads.append(n)
+    return loads
+
+
+def least_cost(sizes, capacities, overhead):
+    """Over all ways to part the sizes into bins."""
+    if not sizes:
+        return 0
+    best = math.inf
+    first, rest = sizes[0], sizes[1:]
+    for k in range(1 << len(rest)):
+        load = first + sum(n for i, n in enumerate(rest) if k >> i & 1)
+        if load <= max(capacities):
+            own = min(c for c in capacities if c >= load) + overhead
+            best = min(best, own + least_cost([n for i, n in enumerate(rest) if not k >> i & 1], capacities, overhead))
+    return best
+
+
+def test_plans_against_plain_best_fit_and_the_optimum():
+    rng = random.Random(17)
+    capacities = [8, 16, 32]
+    cost = lambda loads: sum(min(c for c in capacities if c >= x) + 2 for x in loads)
+    worst = 1.0
+    for _ in range(150):
+        sizes = sorted([rng.choice([rng.randint(1, 32), 8, 16]) for _ in range(rng.randint(1, 7))], reverse=True)
+        bins, loads = packing.best_plan(np.array(sizes), capacities, 2)
+        assert [sum(n for n, b in zip(sizes, bins) if b == k) for k in range(len(loads))] == loads
+        for c in capacities:
+            if c >= sizes[0]:
+                single = packing.plan(np.array(sizes), capacities, c, 2)[1]
+                assert sorted(single) == sorted(plain_best_fit(sizes, c)) if c == capacities[-1] else True
+                assert cost(loads) <= cost(plain_best_fit(sizes, c))
+        worst = max(worst, cost(loads) / least_cost(sizes, capacities, 2))
+    assert worst <= 1.25
+
+
+def test_rows_with_null_and_equal_ids_are_packed_each(spark):
+    df = spark.createDataFrame([(None, 400)] * 5 + [(7, 400)] * 5 + [(8, 400)], "doc_id long, n int")
+    got = packing.pack(df, "n", shard_pieces=4).collect()
+    assert sorted((str(r.doc_id), r.length) for r in got) == [("7", 400)] * 5 + [("8", 400)] + [("None", 400)] * 5
+    assert all(r.bin_load <= r.capacity for r in got)
+
+
 def test_best_fit_takes_the_fullest_bin():
     bins, loads = packing.plan(np.array([90, 70, 30, 10]), [100], None, 0)
     assert bins == [0, 1, 1, 0] and loads == [100, 100]
@@ -362,6 +458,42 @@ def test_lm(spark, texts):
     assert lattice_lm.score_documents(frame(spark, ["a"]), F.lit(False), MODEL).first().n_known == 0
 
 
+def test_lm_scores_each_row_by_the_vocabulary_alone(spark):
+    rows = [(1, "aa The"), (1, "aa The"), (1, "other"), (None, "x y"), (None, "Zé 日"), (None, None), (2, ""), (3, "q" * 700)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    pieces = lattice_lm.read_pieces(MODEL)
+    ranked = sorted(range(len(pieces)), key=lambda i: -pieces[i][1])
+    weight = {pieces[i][0]: 1 / (r + 10) for r, i in enumerate(ranked)}
+    total = sum(weight.values())
+    p = {w: x / total * 0.98 for w, x in weight.items()}
+    lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+
+    def log10(text):
+        return (sum(brute_marginal("▁" + w, p, 0.01 / 256) for w in WORD.findall((text or "").translate(lower))) + math.log(0.01)) / math.log(10)
+
+    got = lattice_lm.score_documents(df, F.col("doc_id") == 1, MODEL, rounds=0).collect()
+    key = lambda r: (str(r[0]), r[1])
+    some = [(i, t) for i, t in rows if len(t or "") < 700]  # the product of many small numbers has no floating-point value
+    want = sorted([(i, log10(t)) for i, t in some], key=key)
+    have = sorted([(r.doc_id, r.score) for r in got if r.doc_id != 3], key=key)
+    assert [i for i, _ in have] == [i for i, _ in want] and [x for _, x in have] == pytest.approx([x for _, x in want])
+    assert sorted(r.n_tokens for r in got) == [1, 1, 2, 2, 3, 3, 3, 3] and {r.train_tokens for r in got} == {8}
+
+
+def test_long_words_go_through_the_same_recursion(monkeypatch):
+    rng = random.Random(21)
+    of = lattice_lm.start([("▁", -1.0), ("a", -2.0), ("b", -3.0), ("ab", -4.0), ("▁a", -5.0), ("bab", -6.0), ("aabb", -7.0)])
+    some = ["".join(rng.choice("abé日") for _ in range(n)) for n in (1, 2, 3, 7, 8, 9, 30, 200)]
+    weights = np.arange(1, len(some) + 1).astype(float)
+    want, (pieces, n_bytes) = lattice_lm.word_log_p(some, of), lattice_lm.expected(some, weights, of)
+    for long_, block in ((0, 3), (0, 4096), (7, 8)):
+        monkeypatch.setattr(lattice_lm, "LONG_WORD", long_)
+        monkeypatch.setattr(lattice_lm, "BLOCK", block)
+        assert lattice_lm.word_log_p(some, of) == pytest.approx(want)
+        got, bytes_ = lattice_lm.expected(some, weights, of)
+        assert got == pytest.approx(pieces) and bytes_ == pytest.approx(n_bytes)
+
+
 # op9
 
 
@@ -439,6 +571,71 @@ def test_toxicity_learns(spark):
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r.score < 0.3}
 
 
+def test_toxicity_by_plain_python(spark, monkeypatch):
+    """Counts, log-odds, lambda, chance level, weights and scores of a small corpus, each by its definition."""
+    rng = random.Random(14)
+    docs = []
+    for i in range(90):
+        w = [f"w{rng.randint(0, 25)}" for _ in range(rng.randint(1, 30))]
+        if i % 3 == 0:
+            w[len(w) // 2 : len(w) // 2] = rng.choices(["Idiot!", "trash", "w3"], k=rng.randint(1, 6))
+        docs.append(" ".join(w))
+    monkeypatch.setattr(toxicity, "PRIOR", 50.0)
+    monkeypatch.setattr(toxicity.log_odds, "__defaults__", (50.0, toxicity.Z_LEAST))
+    df = frame(spark, docs)
+    model = toxicity.train(df, spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(90)], "doc_id long, toxic int"), F.lit(True))
+    words_ = [[w.lower().strip(toxicity.string.punctuation) for w in d.split()] for d in docs]
+    order = [r.doc_id for r in df.select("doc_id", F.shiftrightunsigned(F.xxhash64("doc_id"), 1).alias("h")).orderBy("h", "doc_id").collect()]
+    fold, seen = {}, [0, 0]
+    for i in order:
+        y = int(i % 3 == 0)
+        fold[i] = seen[y] % toxicity.FOLDS
+        seen[y] += 1
+
+    def fitted(rows):
+        c = [Counter(w for i in rows if (i % 3 == 0) == bool(y) for w in words_[i]) for y in (0, 1)]
+        n0, n1 = (sum(x.values()) for x in c)
+        odds = {}
+        for t in {*c[0], *c[1]}:
+            y0, y1 = c[0][t], c[1][t]
+            a = 50.0 * (y1 + y0) / (n1 + n0)
+            d = math.log((y1 + a) / (n1 + 50.0 - y1 - a)) - math.log((y0 + a) / (n0 + 50.0 - y0 - a))
+            if abs(d) / math.sqrt(1 / (y1 + a) + 1 / (y0 + a)) >= toxicity.Z_LEAST:
+                odds[t] = max(-3.0, min(6.0, d))
+        return odds, c[0], n0
+
+    odds, background, n0 = fitted(range(90))
+    assert model.odds == pytest.approx(odds) and "idiot" in odds
+    balance = lambda lam, odds, c, n: sum(k / n * math.exp(lam * (odds.get(t, 0.0) - model.shift)) for t, k in c.items())
+    assert model.lam == pytest.approx(8.0) or balance(model.lam, odds, background, n0) == pytest.approx(1.0, abs=1e-6)
+    nats = {}
+    for f in range(toxicity.FOLDS):
+        own, c, n = fitted([i for i in range(90) if fold[i] != f])
+        low, high = 1e-6, 8.0
+        for _ in range(100):
+            mid = (low + high) / 2
+            low, high = (mid, high) if balance(mid, own, c, n) < 1 else (low, mid)
+        for i in range(90):
+            if fold[i] == f:
+                nats[i] = [min(8.0, low) * x for _, _, x in brute_passages([own.get(w, 0.0) - model.shift for w in words_[i]])]
+    level = [max(x) - math.log(len(words_[i])) for i, x in nats.items() if i % 3 and x]
+    assert model.log_k == pytest.approx(sum(level) / len(level) - 0.5772, abs=1e-6)
+
+    def described(found, n):
+        above = [x - math.log(n) - model.log_k for x in found]
+        return max(above, default=-math.log(n) - model.log_k), math.log1p(sum(x for x in above if x >= model.level))
+
+    x = np.array([described(nats[i], len(words_[i])) for i in range(90)])
+    y = np.array([i % 3 == 0 for i in range(90)], float)
+    p = 1 / (1 + np.exp(-(model.weights[0] + x @ np.array(model.weights[1:]))))
+    z = (x - x.mean(axis=0)) / x.std(axis=0)  # the penalised loss is flat at the weights
+    slopes = np.array(model.weights[1:]) * x.std(axis=0)
+    assert z.T @ (y - p) - slopes == pytest.approx(np.zeros(2), abs=1e-4)
+    for r in toxicity.score(df, model).collect():
+        a, b = described([model.lam * s for _, _, s in brute_passages([odds.get(w, 0.0) - model.shift for w in words_[r.doc_id]])], len(words_[r.doc_id]))
+        assert r.score == pytest.approx(1 / (1 + math.exp(-(model.weights[0] + model.weights[1] * a + model.weights[2] * b))), abs=1e-6)
+
+
 def test_toxicity_without_labels(spark):
     df = frame(spark, ["a", None])
     model = toxicity.train(df, spark.createDataFrame([], "doc_id long, toxic int"), F.lit(True))

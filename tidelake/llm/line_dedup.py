@@ -62,7 +62,7 @@ def word_keys(line: Column, classes: str) -> Column:
     """The distinct words of a line of a ``spaced`` text as numbers in the order of rarity."""
     table = F.split(F.lit(classes), ",").cast("array<bigint>")
     hashes = F.array_distinct(F.array_remove(F.transform(F.split(line, " "), lambda w: F.xxhash64(w)), F.xxhash64(F.lit(""))))
-    rarity = lambda h: F.shiftleft(table.getItem(h.bitwiseAND(F.lit(COUNTERS - 1))), _HASH_BITS)
+    rarity = lambda h: F.shiftleft(table[h.bitwiseAND(F.lit(COUNTERS - 1))], _HASH_BITS)
     return F.sort_array(F.transform(hashes, lambda h: rarity(h).bitwiseOR(F.shiftrightunsigned(h, 64 - _HASH_BITS))))
 
 
@@ -122,7 +122,7 @@ def _texts_of(rows: DataFrame, places: DataFrame) -> DataFrame:
     """``set, line`` of the sets (set, at); a text is cut into its lines once, whatever the number of lines wanted."""
     wanted = write_table(places.groupBy(F.col("at._key").alias("_key")).agg(F.collect_list(F.struct(F.col("at.line_no").alias("line_no"), "set")).alias("some")), "line-wanted")
     cut = rows.select("_key", "_text").join(checked_broadcast(wanted), "_key").select("some", F.explode(F.array(F.split(spaced(F.col("_text")), "\n"))).alias("parts"))
-    lines = F.transform("some", lambda s: F.struct(s["set"].alias("set"), F.col("parts").getItem(s["line_no"]).alias("line")))
+    lines = F.transform("some", lambda s: F.struct(s["set"].alias("set"), F.col("parts")[s["line_no"]].alias("line")))
     return write_table(cut.select(F.inline(lines)).groupBy("set").agg(F.min("line").alias("line")), "line-texts")
 
 
@@ -165,8 +165,8 @@ def _gone_lines(rows: DataFrame) -> DataFrame:
 def _without(parts: Column, gone: Column) -> Column:
     """The elements but for those at the rising places ``gone``: the stretches between these, one after another."""
     last = F.size(gone)
-    begin = lambda i: F.when(i == 0, 0).otherwise(gone.getItem(F.greatest(i - 1, F.lit(0))) + 1)
-    end = lambda i: F.when(i == last, F.size(parts)).otherwise(gone.getItem(F.least(i, last - 1)))
+    begin = lambda i: F.when(i == 0, 0).otherwise(gone[F.greatest(i - 1, F.lit(0))] + 1)
+    end = lambda i: F.when(i == last, F.size(parts)).otherwise(gone[F.least(i, last - 1)])
     return F.flatten(F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(parts, begin(i) + 1, end(i) - begin(i))))
 
 

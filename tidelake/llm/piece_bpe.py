@@ -25,6 +25,7 @@ from .common import slices, small_batches
 
 MARK = "▁"
 MEMO_CHUNKS = 300_000
+MEMO_PAIRS = 500_000
 
 
 class PieceCodec:
@@ -86,7 +87,7 @@ class PieceCodec:
         key = (left, right)
         known = self._fits.get(key)
         if known is None:
-            if len(self._fits) > 2_000_000:
+            if len(self._fits) > MEMO_PAIRS:
                 self._fits.clear()
             known = self._fits[key] = self.merge(left + right) == [left, right]
         return known
@@ -100,7 +101,7 @@ class PieceCodec:
         for end, size in self._found.iter(chunk):
             if size > 1:
                 starts[end - size + 1].append(size)  # in order of length
-        failed = 0
+        failed = bytearray((n >> 3) + 1)  # a bit for each place
         out: list[str] = []
         tried: list[int] = []  # how many of the sizes at each token's start are still untried
         at, left = 0, len(starts[0])
@@ -110,14 +111,14 @@ class PieceCodec:
                 left -= 1
                 to = at + sizes[left]
                 piece = chunk[at:to]
-                if not failed >> to & 1 and (not out or self.fits(out[-1], piece)):
+                if not failed[to >> 3] >> (to & 7) & 1 and (not out or self.fits(out[-1], piece)):
                     out.append(piece)
                     tried.append(left)
                     at, placed = to, True
                     left = len(starts[at]) if at < n else 0
                     break
             if not placed:
-                failed |= 1 << at
+                failed[at >> 3] |= 1 << (at & 7)
                 piece, left = out.pop(), tried.pop()
                 at -= len(piece)
         return out

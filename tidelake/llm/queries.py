@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact_dedup, lattice_lm, line_dedup, minhash_dedup, packing, piece_bpe, substring_dedup, token_cache, topk_search, toxicity
-from .common import WORD, crc_mod, scratch_dir
+from .common import WORD, crc_mod, scratch_dir, write_table
 
 TOXIC_AT = 0.3
 TOKEN_LIMIT = 4096
@@ -71,7 +71,9 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     # a cache of its own for each call: what is measured is a cold one
     cache = f"{scratch_dir(spark)}/tidelake/token-cache-{uuid.uuid4().hex}"
     counts = token_cache.token_counts(_table(spark, sf_dir, "documents"), tokenizer_path(), cache)
-    return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+    counts = write_table(counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT), "token-counts")
+    token_cache.drop_cache(spark, cache)
+    return counts
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

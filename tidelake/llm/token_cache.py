@@ -61,6 +61,12 @@ def _stored(spark: SparkSession, cache_path: str, digest: str) -> DataFrame:
     return found.where(F.col("tokenizer_digest") == digest).select("content_digest", "n_tokens").distinct()
 
 
+def drop_cache(spark: SparkSession, cache_path: str) -> None:
+    """Delete a cache that was made for one call; counts that are still read from it must have been written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(cache_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def token_counts(docs: DataFrame, model_path: str, cache_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_bytes, n_tokens`` for each row; whole texts, null as the empty one.
 

@@ -59,7 +59,9 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each piece of a document, with its place in a bin; lengths are in tokens of the queries' tokenizer."""
     cache = f"{scratch_dir(spark)}/tidelake/token-cache-{uuid.uuid4().hex}"
     counts = token_cache.token_counts(docs.select("doc_id", "text"), tokenizer_path(), cache)
-    return packing.pack(counts.select("doc_id", F.col("n_tokens").alias("length")), "length")
+    packed = packing.pack(counts.select("doc_id", F.col("n_tokens").alias("length")), "length")
+    token_cache.drop_cache(spark, cache)  # pack has written the lengths
+    return packed
 
 
 STAGES = [("toxicity", drop_toxic), ("line_dedup", drop_lines), ("near_dedup", drop_near_copies), ("substring_dedup", drop_passages), ("packing", pack)]

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import json
 import threading
+import time
 import urllib.error
 import urllib.request
 
@@ -13,6 +14,7 @@ from tidelake.http import serve
 from tidelake.operators.rollup import Rollup
 from tidelake.sources.bulk import read_csv
 from tidelake.sources.synthetic import synthetic_lines
+from tidelake.streaming.batcher import Batcher
 from tidelake.streaming.ingest import Schedule, ingest
 
 T = 1_700_000_000_000_000_000
@@ -246,3 +248,36 @@ def test_the_log_folds_to_one_file(engine):
     assert engine.manifest.fold() > 2 and engine.manifest.fold() == 0
     assert [(o.kind, o.object_key) for o in engine.manifest.objects()] == before
     assert Engine(engine.spark, engine.store.root).relation("m", "all").count() == 3
+
+
+def test_batches_by_size_or_age(engine):
+    batcher = Batcher(engine, lines=3, seconds=600)
+    start = time.monotonic()
+    assert [batcher.put(f"m,h=a v={i} {T + i * 1000}") for i in range(2)] == [1, 1] and batcher.depth == 2
+    batcher.put(f"m,h=b v=9 {T}\nbad")  # full: written at once
+    while batcher.depth or engine.counters["written"] < 3:
+        assert time.monotonic() - start < 100
+        time.sleep(0.05)
+    batcher.put(f"m,h=c v=1 {T // 10**6}", "ms")
+    batcher.close()  # writes what waits
+    assert rows(engine.relation("m"), "t_h") == [("a",), ("a",), ("b",), ("c",)] and engine.counters["failed"] == 1
+    with pytest.raises(EngineError):
+        batcher.put("m v=1")
+    young = Batcher(engine, lines=1000, seconds=0.2)
+    young.put(f"m,h=d v=1 {T}")
+    while engine.counters["written"] < 5:
+        assert time.monotonic() - start < 200
+        time.sleep(0.05)
+    young.close()
+    for body, precision in (("", "ns"), ("m v=1", "h")):
+        with pytest.raises(EngineError):
+            young.put(body, precision)
+
+
+def test_tier_run_folds_the_log(spark, tmp_path):
+    engine = Engine(spark, f"file://{tmp_path}/root", Config(log_files=4))
+    for i in range(2):
+        engine.write(f"m v={i} {T + i * MINUTE}")
+    engine.tier_run("10000 days")
+    assert len([x for x in engine.manifest.mark() if x.startswith("part-")]) == 1
+    assert engine.relation("m", "all").count() == 2

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 from datetime import UTC, datetime, timedelta
 
 import pytest
@@ -88,6 +89,20 @@ def test_asof(spark):
     assert got == {"l1": 50, "l2": None, "l3": None}
 
 
+def test_asof_in_slices_of_time(spark):
+    rng = random.Random(9)
+    right = [(rng.choice("ab"), t, rng.randint(0, 99)) for t in rng.sample(range(0, 2000), 60)]
+    left = [(rng.choice("abc"), rng.randint(0, 2000), i) for i in range(200)] + [("a", None, 200)]
+    r = spark.createDataFrame(right, "k string, at int, v int")
+    for lo in (spark.createDataFrame(left, "k string, t int, id int"), spark.createDataFrame([], "k string, t int, id int")):
+        whole = asof_join(lo, r, ["k"], "t", "at", ["v"])
+        assert sorted(map(str, asof_join(lo, r, ["k"], "t", "at", ["v"], rows_a_slice=7).collect())) == sorted(map(str, whole.collect()))
+    got = {x.id: x.v for x in asof_join(spark.createDataFrame(left, "k string, t int, id int"), r, ["k"], "t", "at", ["v"], rows_a_slice=7).collect()}
+    for k, t, i in left[:-1]:
+        seen = [(at, v) for own, at, v in right if own == k and at <= t]
+        assert got[i] == (max(seen)[1] if seen else None)
+
+
 def test_sql_text():
     sql, args = sqlapi.prepare("SELECT '$1 lp.x' FROM lp.cpu WHERE a = $1 AND b > now() - INTERVAL '5m' AND $__timeFilter(time)", [7], "2024-01-01", "2024-01-02")
     assert "'$1 lp.x'" in sql and "FROM cpu" in sql and "a = :p1" in sql and "INTERVAL '5 minute'" in sql and "BETWEEN TIMESTAMP'2024-01-01" in sql

@@ -43,6 +43,7 @@ class Config:
     write_through: bool = True
     query_engine: bool = True
     compact_target_bytes: int = tiering.TARGET_BYTES
+    log_files: int = 64
     schema: str = "lp"
 
 
@@ -397,7 +398,9 @@ class Engine:
     def tier_run(self, older_than: str | None = None, measurement: str | None = None, now: datetime | None = None) -> dict:
         if not self.config.query_engine:
             raise EngineError(503, "the cold query engine is off")
-        return {"compacted": self.compact(measurement), "evicted": self.evict(older_than, measurement, now)}
+        done = {"compacted": self.compact(measurement), "evicted": self.evict(older_than, measurement, now)}
+        self.manifest.fold(self.config.log_files)
+        return done
 
     def tier_status(self) -> dict:
         rows = [r.asDict() for r in self.manifest.status().collect()]

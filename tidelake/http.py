@@ -10,9 +10,10 @@ from urllib.parse import parse_qs, urlsplit
 from pyspark.errors import PySparkException
 
 from .engine import Engine, EngineError
+from .streaming.batcher import Batcher
 
 
-def handler(engine: Engine) -> type[BaseHTTPRequestHandler]:
+def handler(engine: Engine, batcher: Batcher | None = None) -> type[BaseHTTPRequestHandler]:
     class Handler(BaseHTTPRequestHandler):
         def _body(self) -> bytes:
             return self.rfile.read(int(self.headers.get("Content-Length") or 0))
@@ -43,10 +44,14 @@ def handler(engine: Engine) -> type[BaseHTTPRequestHandler]:
             try:
                 match self.command, url.path:
                     case "GET", "/health":
-                        self._answer(200, json.dumps(engine.health()))
+                        self._answer(200, json.dumps(engine.health() | ({"queue_depth": batcher.depth} if batcher else {})))
                     case "POST", "/api/v1/write":
-                        done = engine.write(self._body(), q.get("precision", "ns"))
                         sync = q.get("sync", "").lower() in {"1", "true", "yes"}
+                        if batcher and not sync:
+                            batcher.put(self._body(), q.get("precision", "ns"))
+                            return self._answer(204)
+                        done = engine.write(self._body(), q.get("precision", "ns"))
+                        engine.counters["failed"] += done.failed
                         if done.status == 204 and not sync:
                             self._answer(204)
                         else:
@@ -81,11 +86,13 @@ def handler(engine: Engine) -> type[BaseHTTPRequestHandler]:
     return Handler
 
 
-def serve(engine: Engine, port: int = 8000, host: str = "127.0.0.1") -> ThreadingHTTPServer:
-    return ThreadingHTTPServer((host, port), handler(engine))
+def serve(engine: Engine, port: int = 8000, host: str = "127.0.0.1", batcher: Batcher | None = None) -> ThreadingHTTPServer:
+    """With a batcher, writes without ``sync`` are answered at once and written by size or age."""
+    return ThreadingHTTPServer((host, port), handler(engine, batcher))
 
 
 if __name__ == "__main__":
     from pyspark.sql import SparkSession
 
-    serve(Engine(SparkSession.builder.getOrCreate(), sys.argv[1]), int(sys.argv[2]) if len(sys.argv) > 2 else 8000).serve_forever()
+    engine = Engine(SparkSession.builder.getOrCreate(), sys.argv[1])
+    serve(engine, int(sys.argv[2]) if len(sys.argv) > 2 else 8000, batcher=Batcher(engine)).serve_forever()

@@ -2,26 +2,56 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_time: str, right_time: str, values: Sequence[str]) -> DataFrame:
+ROWS_A_SLICE = 2_000_000
+
+
+def _slices(left: DataFrame, right: DataFrame, left_time: str, right_time: str, rows: int) -> tuple[Callable[[Column], Column], int] | None:
+    """A function from times to numbered slices of equal width, and how many there are; None where one is enough."""
+    kind = left.schema[left_time].dataType.simpleString()
+    zoned = kind == "timestamp" or kind == "timestamp_ntz" and left.sparkSession.conf.get("spark.sql.session.timeZone") == "UTC"
+    if not zoned and kind not in ("tinyint", "smallint", "int", "bigint", "float", "double"):
+        return None
+    number = (lambda t: F.unix_micros(t.cast("timestamp")).cast("double")) if zoned else (lambda t: t.cast("double"))
+    times = left.select(F.col(left_time).alias("_t")).unionByName(right.select(F.col(right_time).alias("_t")))
+    n, low, high = times.agg(F.count("_t"), F.min(number(F.col("_t"))), F.max(number(F.col("_t")))).first()
+    count = -(-n // rows)
+    if count < 2 or not low < high:
+        return None
+    # in floating point, which keeps the order of times
+    return (lambda t: F.least(F.floor((number(t) - F.lit(low)) * F.lit(count / (high - low))), F.lit(count - 1)).cast("int")), count
+
+
+def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_time: str, right_time: str, values: Sequence[str], rows_a_slice: int = ROWS_A_SLICE) -> DataFrame:
     """Left rows with ``values`` of the newest right row of the same ``by`` at or before their time, null if there is none.
 
     One union and one window sorted by time, so one shuffle and no join: memory doesn't grow with a key's
-    rows. Of right rows at one time the one with the largest values counts.
+    rows. Of right rows at one time the one with the largest values counts; those without a time never match. Where there are more than
+    ``rows_a_slice`` rows, time is cut into slices, so that a key's rows are spread over tasks; the newest
+    right row of the slices before enters each slice of its key first.
     """
     packed = F.struct(*values)
     own = F.struct(*left.columns)
     none = lambda d, name: F.lit(None).cast(d.select(own if name == "l" else packed).schema[0].dataType)
     a = left.select(*by, F.col(left_time).alias("_t"), F.lit(1).alias("_side"), own.alias("_l"), none(right, "r").alias("_r"))
-    b = right.select(*by, F.col(right_time).alias("_t"), F.lit(0).alias("_side"), none(left, "l").alias("_l"), packed.alias("_r"))
-    w = Window.partitionBy(*by).orderBy("_t", "_side", "_r").rowsBetween(Window.unboundedPreceding, 0)
-    return a.unionByName(b).withColumn("_r", F.last("_r", ignorenulls=True).over(w)).where("_side = 1").select("_l.*", *[F.col(f"_r.{v}").alias(v) for v in values])
+    b = right.select(*by, F.col(right_time).alias("_t"), F.lit(0).alias("_side"), none(left, "l").alias("_l"), packed.alias("_r")).where("_t is not null")
+    rows, keys = a.unionByName(b), list(by)
+    if cut := _slices(left, right, left_time, right_time, rows_a_slice):
+        slice_of, count = cut
+        rows, keys = rows.withColumn("_slice", slice_of(F.col("_t"))), [*by, "_slice"]
+        # a row a key and slice, and what each leaves to the slices up to the next one that has right rows
+        last = b.withColumn("_slice", slice_of(F.col("_t"))).groupBy(*keys).agg(F.max(F.struct("_t", "_r")).alias("_last"))
+        until = F.coalesce(F.lead("_slice").over(Window.partitionBy(*by).orderBy("_slice")), F.lit(count - 1))
+        carried = last.withColumn("_until", until).withColumn("_slice", F.explode(F.sequence(F.col("_slice") + 1, F.greatest("_until", F.col("_slice") + 1)))).where(F.col("_slice") < count)
+        rows = rows.unionByName(carried.select(*by, F.col("_last._t").alias("_t"), F.lit(0).alias("_side"), none(left, "l").alias("_l"), F.col("_last._r").alias("_r"), "_slice"))
+    w = Window.partitionBy(*keys).orderBy("_t", "_side", "_r").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("_r", F.last("_r", ignorenulls=True).over(w)).where("_side = 1").select("_l.*", *[F.col(f"_r.{v}").alias(v) for v in values])
 
 
 def gapfill(df: DataFrame, bucket: str, width: str, by: Sequence[str], start, end) -> DataFrame:

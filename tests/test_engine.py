@@ -281,3 +281,17 @@ def test_tier_run_folds_the_log(spark, tmp_path):
     engine.tier_run("10000 days")
     assert len([x for x in engine.manifest.mark() if x.startswith("part-")]) == 1
     assert engine.relation("m", "all").count() == 2
+
+
+def test_load_over_http(engine):
+    from tidelake import loadgen
+    from tidelake.sources.synthetic import synthetic_lines
+
+    assert "\n".join(loadgen.bodies(25, 7, 10)).split("\n") == [r.line for r in synthetic_lines(engine.spark, "load", 25, 7).coalesce(1).collect()]
+    server = serve(engine, 0)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        got = loadgen.run(f"http://127.0.0.1:{server.server_port}", 25, 7, 10, 2, verify=True)
+    finally:
+        server.shutdown()
+    assert got["found"] == got["rows"] == 25 and got["rows_per_second"] > 0

@@ -47,6 +47,16 @@ def test_intervals(spark):
     assert {(r.m, r.chunk_start): r.covered for r in covered_chunks(chunks, df, ["m"]).collect()} == {("x", 4): True, ("x", 14): False, ("z", 8): False}
 
 
+def test_islands_in_slices_of_time(spark):
+    rng = random.Random(3)
+    spans = [(rng.choice(["x", "y", None]), a, a + rng.choice([1, 2, 5, 300])) for a in rng.sample(range(3000), 120)]
+    df = spark.createDataFrame(spans, "m string, range_start int, range_end int")
+    got = sorted(map(str, merge_intervals(df, ["m"], rows_a_slice=9).collect()))
+    assert got == sorted(map(str, merge_intervals(df, ["m"]).collect()))
+    want = [(m, a, b) for m in ("x", "y", None) for a, b in zip(*islands((a, b) for own, a, b in spans if own == m))]
+    assert sorted((r.m, r.range_start, r.range_end) for r in merge_intervals(df, ["m"], rows_a_slice=9).collect() if r.m) == sorted(x for x in want if x[0])
+
+
 def test_pruning_counts_both_ends(spark):
     df = spark.createDataFrame([(i, datetime(2025, 3, a), datetime(2025, 3, b)) for i, (a, b) in enumerate([(2, 4), (4, 7), (11, 12)])], "i int, range_start timestamp, range_end timestamp")
     ids = lambda *w: sorted(r.i for r in prune(df, *w).collect())

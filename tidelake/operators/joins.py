@@ -2,30 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-
-ROWS_A_SLICE = 2_000_000
-
-
-def _slices(left: DataFrame, right: DataFrame, left_time: str, right_time: str, rows: int) -> tuple[Callable[[Column], Column], int] | None:
-    """A function from times to numbered slices of equal width, and how many there are; None where one is enough."""
-    kind = left.schema[left_time].dataType.simpleString()
-    zoned = kind == "timestamp" or kind == "timestamp_ntz" and left.sparkSession.conf.get("spark.sql.session.timeZone") == "UTC"
-    if not zoned and kind not in ("tinyint", "smallint", "int", "bigint", "float", "double"):
-        return None
-    number = (lambda t: F.unix_micros(t.cast("timestamp")).cast("double")) if zoned else (lambda t: t.cast("double"))
-    times = left.select(F.col(left_time).alias("_t")).unionByName(right.select(F.col(right_time).alias("_t")))
-    n, low, high = times.agg(F.count("_t"), F.min(number(F.col("_t"))), F.max(number(F.col("_t")))).first()
-    count = -(-n // rows)
-    if count < 2 or not low < high:
-        return None
-    # in floating point, which keeps the order of times
-    return (lambda t: F.least(F.floor((number(t) - F.lit(low)) * F.lit(count / (high - low))), F.lit(count - 1)).cast("int")), count
+from .slices import ROWS_A_SLICE, time_slices
 
 
 def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_time: str, right_time: str, values: Sequence[str], rows_a_slice: int = ROWS_A_SLICE) -> DataFrame:
@@ -42,7 +25,8 @@ def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_time: s
     a = left.select(*by, F.col(left_time).alias("_t"), F.lit(1).alias("_side"), own.alias("_l"), none(right, "r").alias("_r"))
     b = right.select(*by, F.col(right_time).alias("_t"), F.lit(0).alias("_side"), none(left, "l").alias("_l"), packed.alias("_r")).where("_t is not null")
     rows, keys = a.unionByName(b), list(by)
-    if cut := _slices(left, right, left_time, right_time, rows_a_slice):
+    times = left.select(F.col(left_time).alias("_t")).unionByName(right.select(F.col(right_time).alias("_t")))
+    if cut := time_slices(times, "_t", rows_a_slice):
         slice_of, count = cut
         rows, keys = rows.withColumn("_slice", slice_of(F.col("_t"))), [*by, "_slice"]
         # a row a key and slice, and what each leaves to the slices up to the next one that has right rows

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import json
 import random
 from datetime import UTC, datetime, timedelta
 
@@ -113,6 +114,12 @@ def test_asof_in_slices_of_time(spark):
         assert got[i] == (max(seen)[1] if seen else None)
 
 
+def test_json_in_pieces(spark):
+    for n, size in ((0, 2), (1, 2), (4, 2), (5, 2)):
+        pieces = list(sqlapi.json_pieces(spark.range(n, numPartitions=3).selectExpr("id", "timestamp_seconds(id) AS t"), size))
+        assert [r["id"] for r in json.loads("".join(pieces))] == list(range(n)) and len(pieces) == n // size + 1
+
+
 def test_sql_text():
     sql, args = sqlapi.prepare("SELECT '$1 lp.x' FROM lp.cpu WHERE a = $1 AND b > now() - INTERVAL '5m' AND $__timeFilter(time)", [7], "2024-01-01", "2024-01-02")
     assert "'$1 lp.x'" in sql and "FROM cpu" in sql and "a = :p1" in sql and "INTERVAL '5 minute'" in sql and "BETWEEN TIMESTAMP'2024-01-01" in sql

@@ -5,9 +5,10 @@ from __future__ import annotations
 import json
 import threading
 from collections import defaultdict
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from datetime import UTC, datetime, timedelta
+from itertools import chain
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
@@ -258,12 +259,17 @@ class Engine:
         plan = df._jdf.queryExecution().analyzed()
         session._jvm.org.apache.spark.sql.classic.Dataset.ofRows(session._jsparkSession, plan).createOrReplaceTempView(name)
 
-    def query_json(self, sql: str, params: Sequence[object] = (), tier: str = "hot", start=None, end=None) -> str:
+    def query_pieces(self, sql: str, params: Sequence[object] = (), tier: str = "hot", start=None, end=None) -> Iterator[str]:
+        """The answer as JSON, piece by piece; the first one is made at once, so that a request that can't be served fails here."""
         try:
-            return sqlapi.json_rows(self.query(sql, params, tier, start, end))
+            pieces = sqlapi.json_pieces(self.query(sql, params, tier, start, end))
+            return chain([next(pieces)], pieces)
         except PySparkException as e:
             raise EngineError(400, str(e)) from e
 
+    def query_json(self, sql: str, params: Sequence[object] = (), tier: str = "hot", start=None, end=None) -> str:
+        return "".join(self.query_pieces(sql, params, tier, start, end))
+
     # changing
 
     def delete(self, measurement: str, tags: dict[str, str] | None = None, start=None, end=None) -> int:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import sys
+from collections.abc import Iterable
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from urllib.parse import parse_qs, urlsplit
 
@@ -37,6 +38,16 @@ def handler(engine: Engine, batcher: Batcher | None = None) -> type[BaseHTTPRequ
             if status != 204:
                 self.wfile.write(data)
 
+        def _stream(self, pieces: Iterable[str]) -> None:
+            """An answer of any length; it ends with the connection."""
+            self.send_response(200)
+            self.send_header("Content-Type", "application/json")
+            self.send_header("Connection", "close")
+            self.end_headers()
+            for p in pieces:
+                self.wfile.write(p.encode())
+            self.close_connection = True
+
         def _serve(self) -> None:
             url = urlsplit(self.path)
             q = {k: v[-1] for k, v in parse_qs(url.query, keep_blank_values=True).items()}
@@ -58,9 +69,9 @@ def handler(engine: Engine, batcher: Batcher | None = None) -> type[BaseHTTPRequ
                             self._answer(200, json.dumps({"accepted": done.accepted, "errors": done.errors}))
                     case "POST", "/api/v1/query":
                         b = self._json()
-                        self._answer(200, engine.query_json(b.get("sql", ""), b.get("params") or (), q.get("tier", "hot"), **window))
+                        self._stream(engine.query_pieces(b.get("sql", ""), b.get("params") or (), q.get("tier", "hot"), **window))
                     case "GET", "/api/v1/query":
-                        self._answer(200, engine.query_json(q.get("sql", q.get("q", "")), (), q.get("tier", "hot"), **window))
+                        self._stream(engine.query_pieces(q.get("sql", q.get("q", "")), (), q.get("tier", "hot"), **window))
                     case "POST", "/api/v1/delete":
                         b = self._json()
                         n = engine.delete(b["measurement"], b.get("tags"), b.get("start"), b.get("end"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from datetime import date, datetime
 from decimal import Decimal
 
@@ -75,6 +75,15 @@ def _plain(value: object) -> object:
     return float(value) if isinstance(value, Decimal) else str(value)
 
 
-def json_rows(df: DataFrame) -> str:
-    """All rows as a JSON array of objects; times are ISO 8601 in UTC. For answers that a client reads at once."""
-    return json.dumps([r.asDict(recursive=True) for r in df.collect()], default=_plain)
+def json_pieces(df: DataFrame, rows: int = 1000) -> Iterator[str]:
+    """All rows as a JSON array of objects, some rows at a time; times are ISO 8601 in UTC.
+
+    The driver holds a partition of the result and the next one, and never the whole.
+    """
+    mark, held = "[", []
+    for r in df.toLocalIterator(prefetchPartitions=True):
+        held.append(json.dumps(r.asDict(recursive=True), default=_plain))
+        if len(held) == rows:
+            yield mark + ", ".join(held)
+            mark, held = ", ", []
+    yield (mark if held or mark == "[" else "") + ", ".join(held) + "]"

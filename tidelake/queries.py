@@ -529,9 +529,9 @@ passed("sql_cube", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM or
 passed("sql_distinct_aggregates", "SELECT event_type, count(DISTINCT user_id) AS users, min(value) AS low, max(value) AS high FROM events GROUP BY event_type")
 passed("sql_first_and_last", "SELECT event_type, min_by(value, ts) AS first, max_by(value, ts) AS last FROM events GROUP BY event_type")
 passed("sql_windows", "SELECT event_id, rank() OVER (PARTITION BY event_type ORDER BY user_id) AS r, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts) AS previous, cast(sum(event_id) OVER (PARTITION BY event_type ORDER BY ts ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS bigint) AS s FROM events")
-passed("sql_ordered_sets", "SELECT event_type, round(percentile_cont(0.5) WITHIN GROUP (ORDER BY value), 6) AS middle, percentile_disc(0.9) WITHIN GROUP (ORDER BY user_id) AS high, count(*) FILTER (WHERE value > 50) AS n FROM events GROUP BY event_type")
+passed("sql_ordered_sets", "SELECT event_type, round(percentile_cont(0.5) WITHIN GROUP (ORDER BY value), 6) AS middle, cast(percentile_disc(0.9) WITHIN GROUP (ORDER BY user_id) AS double) AS high, count(*) FILTER (WHERE value > 50) AS n FROM events GROUP BY event_type")
 passed("sql_approximate", "SELECT event_type, abs(approx_count_distinct(user_id) - count(DISTINCT user_id)) <= 0.2 * count(DISTINCT user_id) AS near FROM events GROUP BY event_type")
-passed("sql_strings", "SELECT c_custkey, upper(c_name) AS u, substr(c_name, 3, 5) AS part, replace(c_name, '#', '-') AS r, length(c_name) AS n, concat(c_mktsegment, '/', c_custkey) AS c, lpad(cast(c_custkey AS string), 8, '0') AS p, CASE WHEN c_name LIKE '%1%' THEN 'one' ELSE 'none' END AS has, coalesce(nullif(c_mktsegment, 'BUILDING'), '?') AS s FROM customer")
+passed("sql_strings", "SELECT c_custkey, upper(c_name) AS u, substr(c_name, 3, 5) AS part, replace(c_name, '#', '-') AS r, cast(length(c_name) AS bigint) AS n, concat(c_mktsegment, '/', c_custkey) AS c, lpad(cast(c_custkey AS string), 8, '0') AS p, CASE WHEN c_name LIKE '%1%' THEN 'one' ELSE 'none' END AS has, coalesce(nullif(c_mktsegment, 'BUILDING'), '?') AS s FROM customer")
 passed("sql_set_operations", "(SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier) UNION (SELECT n_nationkey FROM nation WHERE n_regionkey = 1 EXCEPT SELECT s_nationkey FROM supplier)")
 passed("sql_pricing_summary", "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, round(avg(l_discount), 6) AS avg_disc, count(*) AS n FROM lineitem WHERE l_shipdate <= '1998-09-02' GROUP BY l_returnflag, l_linestatus")
 

@@ -55,6 +55,8 @@ class PieceCodec:
         self.byte_fallback = spec.trainer_spec.byte_fallback
         self.scores = {p.piece: p.score for p in spec.pieces if p.type == kinds.NORMAL}
         self.id_of = {p.piece: i for i, p in enumerate(spec.pieces) if p.type == kinds.NORMAL}
+        self._decimals = [str(i) for i in range(len(self.pieces))]
+        self._surfaces = [bytes([self.byte_of[i]]) if i in self.byte_of else b"" if i in self.silent else " ⁇ ".encode() if i == self.unk else p.replace(MARK, " ").encode() for i, p in enumerate(self.pieces)]
         self.cuts_at_marks = not any(MARK in p.lstrip(MARK) for p in self.scores)
         joined = {c for p in self.scores if len(p) > 1 for c in p}
         self._lone = "\n" if "\n" not in joined and self.cuts_at_marks else ""
@@ -96,12 +98,12 @@ class PieceCodec:
         """The chunk's pieces, and single characters where the vocabulary has none."""
         if chunk in self.whole:
             return [chunk]
-        n = len(chunk)
+        n, known = len(chunk), self._fits
         starts: list[list[int]] = [[1] for _ in range(n)]
         for end, size in self._found.iter(chunk):
             if size > 1:
                 starts[end - size + 1].append(size)  # in order of length
-        failed = bytearray((n >> 3) + 1)  # a bit for each place
+        failed: bytearray | None = None  # a bit for each place, made when one fails
         out: list[str] = []
         tried: list[int] = []  # how many of the sizes at each token's start are still untried
         at, left = 0, len(starts[0])
@@ -111,13 +113,14 @@ class PieceCodec:
                 left -= 1
                 to = at + sizes[left]
                 piece = chunk[at:to]
-                if not failed[to >> 3] >> (to & 7) & 1 and (not out or self.fits(out[-1], piece)):
+                if (failed is None or not failed[to >> 3] >> (to & 7) & 1) and (not out or known.get((out[-1], piece)) or ((out[-1], piece) not in known and self.fits(out[-1], piece))):
                     out.append(piece)
                     tried.append(left)
                     at, placed = to, True
                     left = len(starts[at]) if at < n else 0
                     break
             if not placed:
+                failed = failed or bytearray((n >> 3) + 1)
                 failed[at >> 3] |= 1 << (at & 7)
                 piece, left = out.pop(), tried.pop()
                 at -= len(piece)
@@ -146,7 +149,8 @@ class PieceCodec:
                     known = ",".join(x[0] for x in parts), sum(x[1] for x in parts), b"".join(x[2] for x in parts)
                 else:
                     ids = self._ids(self.split(chunk))
-                    known = ",".join(map(str, ids)), len(ids), self._surface(ids)
+                    decimals = self._decimals
+                    known = ",".join([decimals[i] for i in ids]), len(ids), self._surface(ids)
             if len(self._new) >= MEMO_CHUNKS:
                 self._old, self._new = self._new, {}
             self._new[chunk] = known
@@ -165,7 +169,8 @@ class PieceCodec:
         return self._ids([p for c in self.chunks(text) for p in self.split(c)])
 
     def _surface(self, ids: list[int]) -> bytes:
-        return b"".join(bytes([self.byte_of[i]]) if i in self.byte_of else b"" if i in self.silent else " ⁇ ".encode() if i == self.unk else self.pieces[i].replace(MARK, " ").encode() for i in ids)
+        surfaces = self._surfaces
+        return b"".join([surfaces[i] for i in ids])
 
     def decode(self, ids: list[int]) -> str:
         """The text that the library's ``decode`` gives; a byte that starts no character becomes U+FFFD."""

@@ -28,6 +28,7 @@ from .plans.sqlapi import prepare
 from .plans.tiering import compacted, eligible_chunks
 from .sources import lineproto
 from .sources.bulk import read_csv
+from .sources.folders import shared_folder
 from .sources.manifest import object_status, prune
 from .sources.synthetic import synthetic_points
 
@@ -274,9 +275,7 @@ def eviction_eligible(spark, sf_dir):
 
 
 def _folder(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share: in spark.checkpoint.dir, or else in the warehouse."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/tidelake-{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/tidelake-{name}-{uuid.uuid4().hex}"
 
 
 def _new_engine(spark: SparkSession, config: Config | None = None) -> Engine:

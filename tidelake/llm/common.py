@@ -18,6 +18,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.folders import shared_folder as scratch_dir
+
 WORD = r"[^\x20\x09-\x0D]+"
 SLICE_BYTES = 2 << 20
 BROADCAST_BYTES = 8 << 20
@@ -32,12 +34,6 @@ except OSError:  # not on glibc
     _libc = None
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder from ``spark.checkpoint.dir``; where that is unset, one in the warehouse, which is shared too."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return (shared or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch").rstrip("/")
-
-
 def write_table(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write ``df`` once to the shared folder and read it back. It survives lost executors.
 

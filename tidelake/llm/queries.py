@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact_dedup, lattice_lm, line_dedup, minhash_dedup, packing, piece_bpe, substring_dedup, token_cache, topk_search, toxicity
-from .common import WORD, crc_mod, scratch_dir, write_table
+from .common import crc_mod, scratch_dir, write_table
 
 TOXIC_AT = 0.3
 TOKEN_LIMIT = 4096
@@ -55,9 +55,12 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lengths in words, which pack's callers replace by what they count: see the README."""
-    docs = _table(spark, sf_dir, "documents")
-    return packing.pack(docs.select("doc_id", F.regexp_count("text", F.lit(WORD)).alias("n_words")), "n_words").withColumnRenamed("length", "n_words")
+    """Lengths in tokens, counted once through a cache that goes when pack has written them."""
+    cache = f"{scratch_dir(spark)}/tidelake/token-cache-{uuid.uuid4().hex}"
+    counts = token_cache.token_counts(_table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path(), cache)
+    packed = packing.pack(counts, "n_tokens").withColumnRenamed("length", "n_tokens")
+    token_cache.drop_cache(spark, cache)
+    return packed
 
 
 def op8_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -332,6 +332,32 @@ def test_lines_edges(spark):
     assert line_dedup.line_dedup(frame(spark, ["a b"])).columns == SCHEMA.replace(",", "").split()[::2] + ["n_lines", "n_removed"]
 
 
+def test_lines_place_open_sets_alone(spark, monkeypatch):
+    """The table of first lines has the sets of several lines and those that may match another, not all sets."""
+    rows = {}
+
+    def counted(df, name, **options):
+        out = write_table(df, name, **options)
+        rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(line_dedup, "write_table", counted)
+    alone = [" ".join(f"a{i}_{k}" for k in range(9)) for i in range(50)]
+    near = " ".join(f"n{k}" for k in range(19))
+    got = line_dedup.line_dedup(frame(spark, [*alone, "x y", "y x", near, f"{near} more"])).orderBy("doc_id").collect()
+    assert [r.n_removed for r in got] == [0] * 50 + [0, 1, 0, 1]
+    assert rows["lines"] == 54 and rows["line-sets"] == 3
+
+
+def test_reach_is_the_length_prefix_and_position_filters(spark):
+    sizes = [(n, i) for n in range(4, 41) for i in range(n - math.ceil(0.8 * n) + 1)]
+    got = {(r.n, r.p): r.r for r in spark.createDataFrame(sizes, "n int, p int").select("n", "p", line_dedup.reach(F.col("n"), F.col("p")).alias("r")).collect()}
+    for (n, i), (m, j) in itertools.product(sizes, sizes):
+        lengths = 4 * m <= 5 * n and 4 * n <= 5 * m
+        prefixes = (n > m or 9 * i <= n) and (m > n or 9 * j <= m)
+        assert (lengths and prefixes and 9 * min(n - i, m - j) >= 4 * (n + m)) == (m <= got[n, i] and n <= got[m, j])
+
+
 def test_lines_run_no_python(spark, texts):
     plan = line_dedup.line_dedup(frame(spark, texts))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)

@@ -34,17 +34,17 @@ except OSError:  # not on glibc
     _libc = None
 
 
-def write_table(df: DataFrame, name: str) -> DataFrame:
+def write_table(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Cut lineage: write ``df`` once to the shared folder and read it back. It survives lost executors.
 
-    The shuffle files behind the table go when it has been written.
+    The shuffle files behind the table go when it has been written. ``options`` are those of the Parquet writer.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/tidelake/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").options(**options).parquet(path)
     finally:
         spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)

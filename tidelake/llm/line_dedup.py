@@ -61,7 +61,7 @@ def rarity_classes(texts: DataFrame, text_col: str) -> str:
 def word_keys(line: Column, classes: str) -> Column:
     """The distinct words of a line of a ``spaced`` text as numbers in the order of rarity."""
     table = F.split(F.lit(classes), ",").cast("array<bigint>")
-    hashes = F.array_distinct(F.array_remove(F.transform(F.split(line, " "), lambda w: F.xxhash64(w)), F.xxhash64(F.lit(""))))
+    hashes = F.array_except(F.transform(F.split(line, " "), lambda w: F.xxhash64(w)), F.array(F.xxhash64(F.lit(""))))
     rarity = lambda h: F.shiftleft(table[h.bitwiseAND(F.lit(COUNTERS - 1))], _HASH_BITS)
     return F.sort_array(F.transform(hashes, lambda h: rarity(h).bitwiseOR(F.shiftrightunsigned(h, 64 - _HASH_BITS))))
 
@@ -70,8 +70,9 @@ def parities(keys: Column, n: Column) -> list[Column]:
     """Every key flips one of 64 bits of ``flips``; of long sets, half of the keys flip one of ``odd`` too."""
     place = lambda k: k.bitwiseAND(F.lit(63)).cast("int")
     zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
-    flips = F.aggregate(keys, zero, lambda bits, k: bits.bitwiseXOR(F.call_function("shiftleft", one, place(k))))
-    odd = F.aggregate(keys, zero, lambda bits, k: bits.bitwiseXOR(F.call_function("shiftleft", F.shiftright(k, 6).bitwiseAND(one), place(k))))
+    flip = lambda bits, k: bits.bitwiseXOR(F.call_function("shiftleft", one, place(k)))
+    flips = F.aggregate(keys, zero, flip)
+    odd = F.aggregate(keys, zero, lambda bits, k: F.when(k.bitwiseAND(F.lit(64).cast("long")) == 0, bits).otherwise(flip(bits, k)))
     return [flips.alias("flips"), F.when(n > LONG_SET, odd).otherwise(zero).alias("odd")]
 
 
@@ -84,20 +85,26 @@ def n_probe(n: Column) -> Column:
     return n - _ceil(4 * n, 5) + 1
 
 
+def reach(n: Column, p: Column) -> Column:
+    """The size of the largest set that one of n words may match by its word at place p, as the first that both have.
+
+    They share n - p words at most, and 9 (n - p) >= 4 (n + m) has to hold for the other's size m.
+    """
+    return F.floor((5 * n - 9 * p) / 4).cast("int")
+
+
 def _may_match(x: str, y: str) -> Column:
-    """The filters, for two rows of the prefix table with one word: parities, lengths, prefixes and positions.
+    """The filters, for two rows of the prefix table with one word: each within the other's reach, and parities.
 
-    At a Jaccard of 0.8, a ninth of both sizes bounds the words that only one set has, and so the bits
-    in which the parities of their words differ. Most chance pairs end there, unread. Of two sets the
-    smaller one needs to be found only by the first words that leave eight ninths of it.
+    The reach is the length, prefix and positional filter in one. At a Jaccard of 0.8, a ninth of both
+    sizes bounds the words that only one set has, and so the bits in which the parities of their words
+    differ. Most chance pairs end there, unread.
     """
-    n, m, i, j = F.col(f"{x}.n"), F.col(f"{y}.n"), F.col(f"{x}.p"), F.col(f"{y}.p")
+    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
     a = F.col(f"{x}.flips").bitwiseXOR(F.col(f"{y}.flips"))
     b = F.col(f"{x}.odd").bitwiseXOR(F.col(f"{y}.odd"))
     few = 9 * F.when(F.least(n, m) > LONG_SET, F.bit_count(a.bitwiseXOR(b)) + F.bit_count(b)).otherwise(F.bit_count(a)) <= n + m
-    lengths = (4 * m <= 5 * n) & (4 * n <= 5 * m)
-    prefixes = ((n > m) | (9 * i <= n)) & ((m > n) | (9 * j <= m))
-    return few & lengths & prefixes & (9 * F.least(n - i, m - j) >= 4 * (n + m))
+    return (m <= F.col(f"{x}.r")) & (n <= F.col(f"{y}.r")) & few
 
 
 def lines_of(rows: DataFrame) -> DataFrame:
@@ -107,15 +114,28 @@ def lines_of(rows: DataFrame) -> DataFrame:
     # generated, so that the words are cut out once and not in each place that names them
     keyed = lines.select("_key", "_id", "line_no", F.explode(F.array(word_keys(F.col("_line"), classes))).alias("w")).where("size(w) > 0")
     n = F.size("w")
-    return write_table(keyed.select("_key", "_id", "line_no", F.xxhash64("w").alias("set"), n.alias("n"), *parities(F.col("w"), n), F.when(n >= 4, F.slice("w", F.lit(1), n_probe(n))).alias("prefix")), "lines")
+    # hashes hardly recur, so a dictionary of them is work for nothing
+    return write_table(keyed.select("_key", "_id", "line_no", F.xxhash64("w").alias("set"), n.alias("n"), *parities(F.col("w"), n), F.when(n >= 4, F.slice("w", F.lit(1), n_probe(n))).alias("prefix")), "lines", **{"parquet.enable.dictionary": "false"})
 
 
 def candidate_rows(lines: DataFrame) -> DataFrame:
-    """Rows (w, set, n, p, flips, odd) of the sets' rarest words that a row of another set may match."""
+    """Rows (w, set, n, r, flips, odd) of the sets' rarest words that a row of another set may match; r is the row's reach."""
     sets = lines.where("prefix is not null").select("set", "n", "flips", "odd", "prefix").distinct()
     spread = sets.select("set", "n", "flips", "odd", F.posexplode("prefix").alias("p", "w"))
+    spread = spread.select("w", "set", "n", reach(F.col("n"), F.col("p")).alias("r"), "flips", "odd")
     x, y = spread.alias("x"), spread.alias("y")
-    return x.join(y, (F.col("x.w") == F.col("y.w")) & (F.col("x.set") != F.col("y.set")) & _may_match("x", "y"), "left_semi")
+    return x.join(y, (F.col("x.w") == F.col("y.w")) & _may_match("x", "y") & (F.col("x.set") != F.col("y.set")), "left_semi")
+
+
+def set_places(lines: DataFrame, candidates: DataFrame) -> DataFrame:
+    """``set, at, k, open``: the first line and the number of lines of the sets that several lines have or that are candidates (open).
+
+    The other sets, most of all, stay where they are, and nothing after this needs them.
+    """
+    first = lines.select("set", F.struct("_id", "_key", "line_no").alias("at"), F.lit(1).alias("k"), F.lit(False).alias("open"))
+    named = candidates.select("set", F.lit(None).cast(first.schema["at"].dataType).alias("at"), F.lit(0).alias("k"), F.lit(True).alias("open"))
+    found = first.unionByName(named).groupBy("set").agg(F.min("at").alias("at"), F.sum("k").alias("k"), F.max("open").alias("open"))
+    return found.where("k > 1 or open")
 
 
 def _texts_of(rows: DataFrame, places: DataFrame) -> DataFrame:
@@ -135,10 +155,10 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def matched_sets(rows: DataFrame, candidates: DataFrame, places: DataFrame) -> DataFrame:
-    """``set`` of the sets (set, at) whose first line has an earlier line of another set with a Jaccard of 0.8 or more."""
-    own = write_table(candidates.select("set").distinct().join(places.select("set", "at"), "set"), "line-own")
+    """``set`` of the sets (set, at, open) whose first line has an earlier line of another set with a Jaccard of 0.8 or more."""
+    own = write_table(places.where("open").select("set", "at"), "line-own")
     texts = _texts_of(rows, own)
-    placed = write_table(candidates.join(checked_broadcast(own), "set").select("w", "at", "set", "n", "p", "flips", "odd"), "line-placed")
+    placed = write_table(candidates.join(checked_broadcast(own), "set").select("w", "at", "set", "n", "r", "flips", "odd"), "line-placed")
     row = F.struct(*[c for c in placed.columns if c != "w"])
     leaders = placed.groupBy("w").agg(F.min(row).alias("x"))
     near = placed.select("w", row.alias("y")).join(leaders, "w").where((F.col("x.at") < F.col("y.at")) & _may_match("x", "y"))
@@ -154,8 +174,7 @@ def _gone_lines(rows: DataFrame) -> DataFrame:
     """``_key, _gone``: the numbers, rising, of the lines that go, of the texts that lose some."""
     lines = lines_of(rows)
     candidates = write_table(candidate_rows(lines), "line-candidates")
-    places = lines.groupBy("set").agg(F.min(F.struct("_id", "_key", "line_no")).alias("at"), F.count("*").alias("k"))
-    places = write_table(places, "line-sets")
+    places = write_table(set_places(lines, candidates), "line-sets")
     matched = matched_sets(rows, candidates, places).withColumn("all", F.lit(True))
     limits = places.join(matched, "set", "left").where("k > 1 or all").select("set", "at", F.coalesce("all", F.lit(False)).alias("all"))
     gone = lines.select("_key", "_id", "line_no", "set").join(limits, "set").where(F.col("all") | (F.struct("_id", "_key", "line_no") > F.col("at")))

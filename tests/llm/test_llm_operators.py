@@ -358,6 +358,38 @@ def test_reach_is_the_length_prefix_and_position_filters(spark):
         assert (lengths and prefixes and 9 * min(n - i, m - j) >= 4 * (n + m)) == (m <= got[n, i] and n <= got[m, j])
 
 
+def test_lines_candidates_are_those_of_all_pairs(spark, monkeypatch):
+    """Words are cut once, and heads against all rows find each row once that another set may match."""
+    tables = {}
+
+    def kept(df, name, **options):
+        tables[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return write_table(df, name, **options)
+
+    monkeypatch.setattr(line_dedup, "write_table", kept)
+    rng, many = random.Random(8), []
+    for k in range(60):
+        base = [f"c{rng.randrange(900)}" for _ in range(rng.randint(4, 60))]
+        many += [" ".join(rng.sample(base, len(base) - rng.randrange(len(base) // 5 + 1)) + [f"d{k}_{j}" for j in range(rng.randrange(3))]) for _ in range(rng.randint(1, 5))]
+    many += many[::4]
+    rows = spark.createDataFrame([(i, i, t) for i, t in enumerate(many)], "_key long, _id long, _text string")
+    lines = line_dedup.lines_of(rows)
+    shared = kept(lines.groupBy("set").count().where("count > 1").select("set"), "shared")
+    got = [(r.w, r.set) for r in line_dedup.candidate_rows(lines, shared).collect()]
+    assert sum("split(_line" in plan for plan in tables.values()) == 1
+
+    sets = {r.set: r for r in lines.where("prefix is not null").collect()}
+    prefix = [(w, s.set, s.n, (5 * s.n - 9 * p) // 4, s.flips, s.odd) for s in sets.values() for p, w in enumerate(s.prefix)]
+    want, tail_alone = set(), 0
+    for w, a, n, r, f, o in prefix:
+        found = [x for x in prefix if x[0] == w and x[1] != a and x[2] <= r and n <= x[3] and 9 * bin((f ^ x[4]) % 2**64).count("1") <= n + x[2]]
+        assert max(s.n for s in sets.values()) <= line_dedup.LONG_SET
+        if found:
+            want.add((w, a))
+            tail_alone += r >= n and all(x[3] < x[2] for x in found)
+    assert sorted(got) == sorted(want) and tail_alone and len(want) < len(prefix)
+
+
 def test_lines_run_no_python(spark, texts):
     plan = line_dedup.line_dedup(frame(spark, texts))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)

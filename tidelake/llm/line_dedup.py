@@ -1,14 +1,14 @@
 """Line deduplication by an exact set-similarity join, in DataFrame operations only.
 
 A line is its set of words. Words are ordered by rarity: by the class of a hashed count over all
-documents (a table of a fixed size), then by hash, which is one total order for all lines. Two lines
+lines (a table of a fixed size), then by hash, which is one total order for all lines. Two lines
 of Jaccard 0.8 share a word among the first few of both, at places that leave room for the overlap,
 and have similar sizes: the prefix, positional and length filters. What passes is verified on the
 whole sets. A line is removed if an earlier one is that similar.
 
 Equal sets are one set from the start, so a line that very many documents share is one row in the
-joins; sets of fewer than four words match equal ones alone and don't enter them. One semi-join of the
-prefix table with itself keeps the rows that any other set may match, and everything after it works on
+joins; sets of fewer than four words match equal ones alone and don't enter them. Semi-joins of the
+prefix table with itself keep the rows that any other set may match, and everything after them works on
 these few. There the earliest set of each prefix word is tried first: that settles the later lines of
 a group of copies in linear work. The sets that it leaves open are held against all earlier ones that
 the filters let pass.
@@ -41,16 +41,14 @@ def split_words(line: Column) -> Column:
     return F.array_remove(F.split(line, " "), "")
 
 
-def rarity_classes(texts: DataFrame, text_col: str) -> str:
-    """The class (two to a doubling) of each hashed counter as one number after another, comma-separated; COUNTERS of them, whatever the corpus."""
+def rarity_classes(hashed: DataFrame) -> str:
+    """The class (two to a doubling) of each hashed counter as one number after another, comma-separated; COUNTERS of them, whatever the corpus. hashed: words."""
     n_block = 1 << 10
-    words = F.split(F.replace(spaced(F.col(text_col)), F.lit("\n"), F.lit(" ")), " ")
     counted = (
-        texts.select(F.explode(words).alias("w"))
-        .where("w <> ''")
-        .groupBy(F.xxhash64("w").bitwiseAND(F.lit(COUNTERS - 1)).alias("b"))
+        hashed.select(F.explode("words").alias("h"))
+        .groupBy(F.col("h").bitwiseAND(F.lit(COUNTERS - 1)).alias("b"))
         .agg(F.count("*").alias("n"))
-        .unionByName(texts.sparkSession.range(COUNTERS).select(F.col("id").alias("b"), F.lit(0).cast("long").alias("n")))
+        .unionByName(hashed.sparkSession.range(COUNTERS).select(F.col("id").alias("b"), F.lit(0).cast("long").alias("n")))
         .groupBy("b")
         .agg(F.least(F.floor(2 * F.log2(F.sum("n") + 1)), F.lit(127)).cast("string").alias("c"))
     )
@@ -58,12 +56,17 @@ def rarity_classes(texts: DataFrame, text_col: str) -> str:
     return ",".join(r.t for r in blocks.orderBy("k").collect())
 
 
-def word_keys(line: Column, classes: str) -> Column:
-    """The distinct words of a line of a ``spaced`` text as numbers in the order of rarity."""
+def word_hashes(line: Column) -> Column:
+    """The hashes of the distinct words of a line of a ``spaced`` text, in their order."""
+    return F.sort_array(F.array_except(F.transform(F.split(line, " "), lambda w: F.xxhash64(w)), F.array(F.xxhash64(F.lit("")))))
+
+
+def word_keys(hashes: Column, classes: str) -> Column:
+    """The words of these hashes as numbers in the order of rarity."""
     table = F.split(F.lit(classes), ",").cast("array<bigint>")
-    hashes = F.array_except(F.transform(F.split(line, " "), lambda w: F.xxhash64(w)), F.array(F.xxhash64(F.lit(""))))
     rarity = lambda h: F.shiftleft(table[h.bitwiseAND(F.lit(COUNTERS - 1))], _HASH_BITS)
-    return F.sort_array(F.transform(hashes, lambda h: rarity(h).bitwiseOR(F.shiftrightunsigned(h, 64 - _HASH_BITS))))
+    # never null, which spares the sort its comparisons of objects
+    return F.sort_array(F.transform(hashes, lambda h: F.coalesce(rarity(h).bitwiseOR(F.shiftrightunsigned(h, 64 - _HASH_BITS)), F.lit(0).cast("long"))))
 
 
 def parities(keys: Column, n: Column) -> list[Column]:
@@ -90,7 +93,7 @@ def reach(n: Column, p: Column) -> Column:
 
     They share n - p words at most, and 9 (n - p) >= 4 (n + m) has to hold for the other's size m.
     """
-    return F.floor((5 * n - 9 * p) / 4).cast("int")
+    return F.shiftright(5 * n - 9 * p, 2)
 
 
 def _may_match(x: str, y: str) -> Column:
@@ -103,39 +106,69 @@ def _may_match(x: str, y: str) -> Column:
     n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
     a = F.col(f"{x}.flips").bitwiseXOR(F.col(f"{y}.flips"))
     b = F.col(f"{x}.odd").bitwiseXOR(F.col(f"{y}.odd"))
-    few = 9 * F.when(F.least(n, m) > LONG_SET, F.bit_count(a.bitwiseXOR(b)) + F.bit_count(b)).otherwise(F.bit_count(a)) <= n + m
+    few = (9 * F.bit_count(a) <= n + m) & ((F.least(n, m) <= LONG_SET) | (9 * (F.bit_count(a.bitwiseXOR(b)) + F.bit_count(b)) <= n + m))
     return (m <= F.col(f"{x}.r")) & (n <= F.col(f"{y}.r")) & few
 
 
 def lines_of(rows: DataFrame) -> DataFrame:
-    """The lines that hold words: ``_key, _id, line_no, set, n, flips, odd, prefix``. ``set`` is the hash of their words. rows: _key, _id, _text."""
-    classes = rarity_classes(rows, "_text")
+    """The lines that hold words: ``_key, _id, line_no, set, n, flips, odd, prefix``. ``set`` is the hash of their words. rows: _key, _id, _text.
+
+    Words are cut out and hashed once; their hashes are kept until they are counted and the rarest of each line are known.
+    """
+    # hashes hardly recur, so a dictionary of them is work for nothing, as is much effort to compress those that soon go
+    plain = {"parquet.enable.dictionary": "false"}
     lines = rows.select("_key", "_id", F.posexplode(F.split(spaced(F.col("_text")), "\n")).alias("line_no", "_line"))
     # generated, so that the words are cut out once and not in each place that names them
-    keyed = lines.select("_key", "_id", "line_no", F.explode(F.array(word_keys(F.col("_line"), classes))).alias("w")).where("size(w) > 0")
-    n = F.size("w")
-    # hashes hardly recur, so a dictionary of them is work for nothing
-    return write_table(keyed.select("_key", "_id", "line_no", F.xxhash64("w").alias("set"), n.alias("n"), *parities(F.col("w"), n), F.when(n >= 4, F.slice("w", F.lit(1), n_probe(n))).alias("prefix")), "lines", **{"parquet.enable.dictionary": "false"})
-
-
-def candidate_rows(lines: DataFrame) -> DataFrame:
-    """Rows (w, set, n, r, flips, odd) of the sets' rarest words that a row of another set may match; r is the row's reach."""
-    sets = lines.where("prefix is not null").select("set", "n", "flips", "odd", "prefix").distinct()
-    spread = sets.select("set", "n", "flips", "odd", F.posexplode("prefix").alias("p", "w"))
-    spread = spread.select("w", "set", "n", reach(F.col("n"), F.col("p")).alias("r"), "flips", "odd")
-    x, y = spread.alias("x"), spread.alias("y")
-    return x.join(y, (F.col("x.w") == F.col("y.w")) & _may_match("x", "y") & (F.col("x.set") != F.col("y.set")), "left_semi")
+    found = lines.select("_key", "_id", "line_no", F.explode(F.array(word_hashes(F.col("_line")))).alias("words")).where("size(words) > 0")
+    n, own = F.size("words"), ("_key", "_id", "line_no")
+    with scratch() as keep:
+        hashed = write_table(found.select(*own, F.xxhash64("words").alias("set"), n.alias("n"), *parities(F.col("words"), n), "words"), "line-words", compression="snappy", **plain)
+        prefix = F.when(F.col("n") >= 4, F.slice(word_keys(F.col("words"), rarity_classes(hashed)), F.lit(1), n_probe(F.col("n"))))
+        return keep(write_table(hashed.select(*own, "set", "n", "flips", "odd", prefix.alias("prefix")), "lines", **plain))
+
+
+def prefix_rows(sets: DataFrame) -> DataFrame:
+    """Rows (w, set, n, r, flips, odd) of the sets' rarest words; r is the row's reach. No column can be null, which spares the pairs a test for each."""
+    rows = sets.select("set", "n", "flips", "odd", F.posexplode("prefix").alias("p", "w"))
+    rows = rows.select("w", "set", "n", reach(F.col("n"), F.col("p")).alias("r"), "flips", "odd")
+    return rows.select(*[F.coalesce(c, F.lit(0).cast(rows.schema[c].dataType)).alias(c) for c in rows.columns])
 
 
-def set_places(lines: DataFrame, candidates: DataFrame) -> DataFrame:
-    """``set, at, k, open``: the first line and the number of lines of the sets that several lines have or that are candidates (open).
+def _only(rows: DataFrame, condition: Column) -> DataFrame:
+    """A filter that no exchange or join can change places with, as it makes ``n``: so two sides of a join share the exchange below."""
+    return rows.select("w", "set", F.explode(F.when(condition, F.array("n"))).alias("n"), "r", "flips", "odd")
 
-    The other sets, most of all, stay where they are, and nothing after this needs them.
+
+def candidate_rows(lines: DataFrame, shared: DataFrame) -> DataFrame:
+    """Rows of the prefix table that a row of another set may match.
+
+    A row that reaches its own size is a head, any other one a tail, which reaches smaller sets alone: of
+    two rows that match, one is a head. So all rows are held against the heads, which finds but the heads
+    that only tails match; these few tails and the heads with their words are then held against each other.
     """
-    first = lines.select("set", F.struct("_id", "_key", "line_no").alias("at"), F.lit(1).alias("k"), F.lit(False).alias("open"))
-    named = candidates.select("set", F.lit(None).cast(first.schema["at"].dataType).alias("at"), F.lit(0).alias("k"), F.lit(True).alias("open"))
-    found = first.unionByName(named).groupBy("set").agg(F.min("at").alias("at"), F.sum("k").alias("k"), F.max("open").alias("open"))
-    return found.where("k > 1 or open")
+    prefixes = lines.where("prefix is not null").select("set", "n", "flips", "odd", "prefix")
+    again = checked_broadcast(shared)
+    sets = prefixes.join(again, "set", "left_anti").unionByName(prefixes.join(again, "set", "left_semi").distinct())
+    dealt = prefix_rows(sets).repartition("w")
+    head = F.col("r") >= F.col("n")
+    found = write_table(_matching(_only(dealt, F.col("n") > 0), _only(dealt, head)), "line-found")
+    tails = found.where(~head)
+    words = checked_broadcast(write_table(tails.select("w").distinct(), "line-tail-words"))
+    heads = prefix_rows(prefixes).where(head).join(words, "w", "left_semi").distinct()
+    heads = heads.join(found.join(words, "w", "left_semi").select("w", "set"), ["w", "set"], "left_anti")
+    return found.unionByName(write_table(_matching(heads, tails), "line-heads"))
+
+
+def _matching(x: DataFrame, y: DataFrame) -> DataFrame:
+    """The rows of x that a row of y with the same word and another set may match."""
+    x, y = x.alias("x"), y.alias("y")
+    return x.join(y, (F.col("x.w") == F.col("y.w")) & _may_match("x", "y") & (F.col("x.set") != F.col("y.set")), "left_semi")
+
+
+def set_places(named: DataFrame, opened: DataFrame) -> DataFrame:
+    """``set, at, k, open``: the first line and the number of lines of the sets of ``named`` lines; ``opened`` has those of candidates."""
+    found = named.groupBy("set").agg(F.min(F.struct("_id", "_key", "line_no")).alias("at"), F.count("*").alias("k"))
+    return found.join(checked_broadcast(opened).withColumn("o", F.lit(True)), "set", "left").select("set", "at", "k", F.coalesce("o", F.lit(False)).alias("open"))
 
 
 def _texts_of(rows: DataFrame, places: DataFrame) -> DataFrame:
@@ -171,13 +204,20 @@ def matched_sets(rows: DataFrame, candidates: DataFrame, places: DataFrame) -> D
 
 
 def _gone_lines(rows: DataFrame) -> DataFrame:
-    """``_key, _gone``: the numbers, rising, of the lines that go, of the texts that lose some."""
+    """``_key, _gone``: the numbers, rising, of the lines that go, of the texts that lose some.
+
+    Only sets of several lines and those that may match another can lose a line; the other ones, most of all, are left behind.
+    """
     lines = lines_of(rows)
-    candidates = write_table(candidate_rows(lines), "line-candidates")
-    places = write_table(set_places(lines, candidates), "line-sets")
+    shared = write_table(lines.groupBy("set").agg(F.count("*").alias("k")).where("k > 1").select("set"), "line-shared")
+    candidates = candidate_rows(lines, shared)
+    opened = write_table(candidates.select("set").distinct(), "line-opened")
+    wanted = write_table(shared.unionByName(opened).distinct(), "line-wanted-sets")
+    named = write_table(lines.select("_key", "_id", "line_no", "set").join(checked_broadcast(wanted), "set", "left_semi"), "line-named")
+    places = write_table(set_places(named, opened), "line-sets")
     matched = matched_sets(rows, candidates, places).withColumn("all", F.lit(True))
     limits = places.join(matched, "set", "left").where("k > 1 or all").select("set", "at", F.coalesce("all", F.lit(False)).alias("all"))
-    gone = lines.select("_key", "_id", "line_no", "set").join(limits, "set").where(F.col("all") | (F.struct("_id", "_key", "line_no") > F.col("at")))
+    gone = named.join(limits, "set").where(F.col("all") | (F.struct("_id", "_key", "line_no") > F.col("at")))
     return gone.groupBy("_key").agg(F.sort_array(F.collect_set("line_no")).alias("_gone"))
 
 
